@@ -624,7 +624,7 @@ def normalize_email(spark, sf):
 @query
 def address_passthrough(spark, sf):
     """Names and addresses through the mapping: what holds no ``@`` comes back as it is."""
-    every = let(H.header_addresses(F.col("transport_headers")), lambda a: F.concat(a["from"], a["to"], a["cc"]))
+    every = let(H.addresses_column(), lambda a: F.concat(a["from"], a["to"], a["cc"]))
     parts = kept_mail(spark, sf, "transport_headers").select("msg_seq", F.posexplode(F.flatten(
         F.transform(every, lambda a: F.array(a["name"], a["email"])))).alias("pos", "raw"))
     rows = parts.withColumn("field", F.lit(0)).withColumn(
@@ -742,7 +742,7 @@ def references_text(spark, sf):
 @query
 def parse_addresses(spark, sf):
     mail = load_mail(spark, sf, ["msg_seq", "transport_headers"])
-    parsed = mail.select("msg_seq", H.header_addresses(F.col("transport_headers")).alias("a"))
+    parsed = mail.select("msg_seq", H.addresses_column().alias("a"))
     tagged = F.concat(*[
         F.transform(F.col(f"a.{part}"), lambda x, i: F.struct(
             F.lit(name).alias("field"), i.cast("bigint").alias("pos"), x["name"].alias("name"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailveil.functions.binding import let
+from mailveil.functions.binding import built_once, let
 
 MAIL_FIELDS = ("From", "To", "Cc")
 
@@ -108,6 +108,12 @@ def header_addresses(headers: Column) -> Column:
     return F.when(headers.isNull(), empty).otherwise(let(unfold(headers), parsed))
 
 
+@built_once
+def addresses_column() -> Column:
+    """``header_addresses`` of the column ``transport_headers``."""
+    return header_addresses(F.col("transport_headers"))
+
+
 def format_addresses(addresses: Column) -> Column:
     emails = F.transform(addresses, lambda a: a["email"])
     return F.array_join(F.filter(emails, lambda e: e != ""), "; ")

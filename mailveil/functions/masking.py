@@ -55,5 +55,6 @@ def replace_spans(text: Column, ordered: Column, replacements: Mapping[str, str]
 
 def mask(text: Column, spans: Column, replacements: Mapping[str, str] = PLACEHOLDERS) -> Column:
     """Settle conflicts, join neighbours, replace."""
-    return F.when(F.size(spans) == 0, text).otherwise(
-        replace_spans(text, merge_adjacent(text, resolve(spans)), replacements))
+    return let(F.struct(text.alias("text"), spans.alias("spans")), lambda m: F.when(
+        F.size(m["spans"]) == 0, m["text"]).otherwise(replace_spans(
+            m["text"], merge_adjacent(m["text"], resolve(m["spans"])), replacements)))

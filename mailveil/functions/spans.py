@@ -96,21 +96,25 @@ def detect(text: Column, recognizers: Sequence[Recognizer]) -> Column:
     Numeric patterns are matched only within runs of digits, each cut out with the
     characters beside it, so the text is read once for all of them.
     """
+    numeric = [r for r in recognizers if r.numeric]
+    others = [r for r in recognizers if not r.numeric]
 
     def found_by(view: Column, group: Iterable[Recognizer]) -> list[Column]:
         return [find(view, r, order_of(r.entity, recognizers)) for r in group]
 
-    groups = found_by(text, [r for r in recognizers if not r.numeric])
-    numeric = [r for r in recognizers if r.numeric]
-
-    def within(run: Column) -> Column:
+    def within(t: Column, run: Column) -> Column:
         first = F.greatest(run["start"] - 1, F.lit(0))
-        view = F.substr(text, first + 1, run["end"] - first + 1)
+        view = F.substr(t, first + 1, run["end"] - first + 1)
         return let(view, lambda v: moved(F.concat(*found_by(v, numeric)), first))
 
-    if numeric:
-        groups.append(F.flatten(F.transform(locate(text, DIGIT_RUN), within)))
-    return F.concat(no_spans(), *groups)
+    def search(t: Column) -> Column:
+        groups = found_by(t, others)
+        if numeric:
+            groups.append(F.flatten(F.transform(
+                locate(t, DIGIT_RUN), lambda run: within(t, run))))
+        return F.concat(no_spans(), *groups)
+
+    return let(text, search)
 
 
 def boost_context(text: Column, spans: Column, recognizers: Sequence[Recognizer]) -> Column:
@@ -126,30 +130,30 @@ def boost_context(text: Column, spans: Column, recognizers: Sequence[Recognizer]
         for part in (F.lit(entity), F.array(*[F.lit(w) for w in listed]))
     ])
 
-    def pieces(end: Column, length: Column) -> Column:
+    def pieces(text: Column, end: Column, length: Column) -> Column:
         before = F.substr(text, end - length + 1, length)
         # One piece may be empty, one is the rest.
         return F.split(F.reverse(before), "[^A-Za-z0-9]+", CONTEXT_TOKENS + 2)
 
-    def near(span: Column, listed: Column) -> Column:
+    def near(text: Column, span: Column, listed: Column) -> Column:
         end = span["start"]
-        all_pieces = let(pieces(end, F.least(end, F.lit(CONTEXT_REACH))), lambda close: F.when(
+        all_pieces = let(pieces(text, end, F.least(end, F.lit(CONTEXT_REACH))), lambda close: F.when(
             (F.size(close) == CONTEXT_TOKENS + 2) | (end <= CONTEXT_REACH), close,
-        ).otherwise(pieces(end, end)))
+        ).otherwise(pieces(text, end, end)))
         tokens = F.slice(F.filter(all_pieces, lambda p: p != ""), 1, CONTEXT_TOKENS)
         tokens = F.transform(tokens, lambda t: F.lower(F.reverse(t)))
         return let(tokens, lambda ts: F.exists(
             listed, lambda word: F.exists(ts, lambda t: F.contains(t, word))))
 
-    def boosted(span: Column) -> Column:
+    def boosted(text: Column, span: Column) -> Column:
         gained = let(F.try_element_at(table, span["entity"]),
-                     lambda listed: F.when(listed.isNotNull() & near(span, listed), F.lit(CONTEXT_GAIN))
+                     lambda listed: F.when(listed.isNotNull() & near(text, span, listed), F.lit(CONTEXT_GAIN))
                      .otherwise(F.lit(0.0)))
         score = F.when(span["score"] < 1.0, F.least(F.lit(1.0), span["score"] + gained)
                        ).otherwise(span["score"])
         return make_span(span["start"], span["end"], score, span["entity"], span["place"])
 
-    return F.transform(spans, boosted)
+    return let(text, lambda t: F.transform(spans, lambda s: boosted(t, s)))
 
 
 def above(spans: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailveil.functions import headers as H
-from mailveil.functions.binding import let
+from mailveil.functions.binding import built_once, let
 from mailveil.functions.recognizers import PERSON, PERSON_SCORE, order_of
 from mailveil.functions.spans import make_span
 from mailveil.operators.lookup import hot_keys, lookup
@@ -23,8 +23,7 @@ def display_name(name: Column) -> Column:
 
 def names_table(mail: DataFrame) -> DataFrame:
     """``(name, n)``: distinct display names and how often they occur."""
-    a = H.header_addresses(F.col("transport_headers"))
-    every = let(a, lambda x: F.concat(x["from"], x["to"], x["cc"]))
+    every = let(H.addresses_column(), lambda x: F.concat(x["from"], x["to"], x["cc"]))
     return (
         mail.select(F.explode(every).alias("a"))
         .select(display_name(F.col("a.name")).alias("name"))
@@ -73,6 +72,11 @@ def capital_pairs(text: Column) -> Column:
                   let(F.split(text, PAIR_START, -1), walk)).otherwise(none)
 
 
+@built_once
+def _pairs_column(text: str) -> Column:
+    return capital_pairs(F.col(text))
+
+
 def person_pairs(texts: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """``(msg_seq, start, end)`` of pairs that are known names.
 
@@ -82,7 +86,7 @@ def person_pairs(texts: DataFrame, names: DataFrame, text: str = "text") -> Data
     join of adaptive execution splits what else piles up.
     """
     pairs = (
-        texts.select("msg_seq", F.explode(capital_pairs(F.col(text))).alias("p"))
+        texts.select("msg_seq", F.explode(_pairs_column(text)).alias("p"))
         .select("msg_seq", "p.*")
     )
     known = names.select("name", F.lit(True).alias("known"))

@@ -21,7 +21,7 @@ MAPPING_COLUMNS = ("id", "original_email", "anonymized_email", "norm_email")
 
 def address_lists(mail: DataFrame) -> DataFrame:
     """``(msg_seq, email_from, email_to, email_cc)`` as ``; ``-separated addresses."""
-    parsed = mail.select("msg_seq", H.header_addresses(F.col("transport_headers")).alias("a"))
+    parsed = mail.select("msg_seq", H.addresses_column().alias("a"))
     return parsed.select(
         "msg_seq",
         H.format_addresses(F.col("a.from")).alias("email_from"),

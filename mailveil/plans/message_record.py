@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailveil.functions import headers as H
-from mailveil.functions.binding import let
+from mailveil.functions.binding import built_once, let
 from mailveil.functions.html import message_body
 from mailveil.functions.masking import PLACEHOLDERS, mask
 from mailveil.functions.recognizers import PATTERN_RECOGNIZERS, Recognizer, registry
@@ -36,11 +36,16 @@ class Options:
     seed: int = DEFAULT_SEED
 
 
+@built_once
+def _body_column() -> Column:
+    return message_body(F.col("plain_text_body"), F.col("body"), F.col("html_body"),
+                        F.col("transport_headers"))
+
+
 def with_texts(mail: DataFrame) -> DataFrame:
     """``subject_text`` and ``body_text`` from the mail columns, other columns kept."""
-    body = message_body(F.col("plain_text_body"), F.col("body"), F.col("html_body"),
-                        F.col("transport_headers"))
-    return mail.withColumn("subject_text", F.coalesce("subject", F.lit(""))).withColumn("body_text", body)
+    return mail.select("*", F.coalesce("subject", F.lit("")).alias("subject_text"),
+                       _body_column().alias("body_text"))
 
 
 def joined_text() -> Column:
@@ -60,44 +65,52 @@ def _may_straddle(recognizers: Sequence[Recognizer]) -> Column:
         F.left("body_text", F.lit(1)), F.lit("[0-9]"))
 
 
-def with_spans(texts: DataFrame, people: DataFrame | None, options: Options) -> DataFrame:
-    """Add ``subject_spans``, ``body_spans`` and ``joined_spans``, detecting once per field.
+@built_once
+def _found_column(recognizers: tuple[Recognizer, ...]) -> Column:
+    """Spans of subject and body, and of the joined text only where one may cross.
 
-    The joined text is searched by itself only where a finding may cross from subject to
-    body; elsewhere its spans are those of the two fields.
+    Elsewhere the spans of the joined text are those of the two fields.
     """
-    recognizers = options.recognizers
-    straddle = _may_straddle(recognizers)
     fields = F.array("subject_text", "body_text")
-    searched = F.when(straddle, F.array_append(fields, joined_text())).otherwise(fields)
-    found = texts.withColumn("_found", F.transform(searched, lambda t: detect(t, recognizers)))
+    searched = F.when(_may_straddle(recognizers), F.array_append(fields, joined_text())
+                      ).otherwise(fields)
+    return F.transform(searched, lambda t: detect(t, recognizers))
 
+
+@built_once
+def _span_columns(recognizers: tuple[Recognizer, ...], threshold: float) -> list[Column]:
     offset = F.length("subject_text") + 1
-    if people is None:
-        found = found.withColumn("people", no_spans())
-    else:
-        found = found.join(people, "msg_seq", "left").withColumn(
-            "people", F.coalesce("people", no_spans()))
     in_subject = F.filter("people", lambda p: p["end"] < offset)
     in_body = moved(F.filter("people", lambda p: p["start"] >= offset), -offset)
     at = [F.get("_found", F.lit(i)) for i in range(3)]
-    plain_joined = F.when(F.size("_found") > 2, at[2]).otherwise(
-        F.concat(at[0], moved(at[1], offset)))
+    joined = F.when(F.size("_found") > 2, at[2]).otherwise(F.concat(at[0], moved(at[1], offset)))
 
     def scored(text: Column, spans: Column) -> Column:
-        return let(spans, lambda s: F.when(F.size(s) > 0, let(text, lambda t: above(
-            boost_context(t, s, recognizers), options.threshold))).otherwise(s))
+        return let(spans, lambda s: F.when(F.size(s) > 0, above(
+            boost_context(text, s, recognizers), threshold)).otherwise(s))
 
-    return found.select(
-        *[c for c in texts.columns],
+    return [
         scored(F.col("subject_text"), F.concat(at[0], in_subject)).alias("subject_spans"),
         scored(F.col("body_text"), F.concat(at[1], in_body)).alias("body_spans"),
-        scored(joined_text(), F.concat(plain_joined, "people")).alias("joined_spans"),
-    )
+        scored(joined_text(), F.concat(joined, "people")).alias("joined_spans"),
+    ]
 
 
-def with_masks(spans: DataFrame, options: Options, synthetic: bool = True) -> DataFrame:
-    """Add masked and synthetic subject and body, one expression for both fields."""
+def with_spans(texts: DataFrame, people: DataFrame | None, options: Options) -> DataFrame:
+    """Add ``subject_spans``, ``body_spans`` and ``joined_spans``, detecting once per field."""
+    recognizers = tuple(options.recognizers)
+    found = texts.select("*", _found_column(recognizers).alias("_found"))
+    if people is None:
+        found = found.select("*", no_spans().alias("people"))
+    else:
+        found = found.join(people.withColumnRenamed("people", "_people"), "msg_seq", "left").select(
+            *[c for c in found.columns], F.coalesce("_people", no_spans()).alias("people"))
+    return found.select(*texts.columns, *_span_columns(recognizers, options.threshold))
+
+
+@built_once
+def _done_column(replacements: tuple[tuple[str, str], ...], seed: int, synthetic: bool) -> Column:
+    """Masked and synthetic texts, one expression for subject and body."""
     pairs = F.array(
         F.struct(F.lit("subject").alias("field"), F.col("subject_text").alias("text"),
                  F.col("subject_spans").alias("spans")),
@@ -106,12 +119,18 @@ def with_masks(spans: DataFrame, options: Options, synthetic: bool = True) -> Da
     )
 
     def both(p: Column) -> Column:
-        return let(mask(p["text"], p["spans"], options.replacements), lambda masked: F.struct(
+        return let(mask(p["text"], p["spans"], dict(replacements)), lambda masked: F.struct(
             masked.alias("masked"),
-            (fill_placeholders(masked, F.col("msg_seq"), p["field"], options.seed)
+            (fill_placeholders(masked, F.col("msg_seq"), p["field"], seed)
              if synthetic else masked).alias("synthetic")))
 
-    done = spans.withColumn("_done", F.transform(pairs, both))
+    return F.transform(pairs, both)
+
+
+def with_masks(spans: DataFrame, options: Options, synthetic: bool = True) -> DataFrame:
+    """Add masked and synthetic subject and body."""
+    column = _done_column(tuple(options.replacements.items()), options.seed, synthetic)
+    done = spans.select("*", column.alias("_done"))
     subject, body = F.get("_done", F.lit(0)), F.get("_done", F.lit(1))
     return done.select(
         *spans.columns,
@@ -124,23 +143,14 @@ def find_people(texts: DataFrame, names: DataFrame) -> DataFrame:
     return person_spans(texts.select("msg_seq", joined_text().alias("text")), names)
 
 
-def message_records(mail: DataFrame, addresses: DataFrame, people: DataFrame | None,
-                    options: Options | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Records of all mail but calendar items, with ``msg_seq`` and ``keep`` in front.
+@built_once
+def _header_columns() -> list[Column]:
+    headers = F.col("transport_headers")
+    return [H.thread_info(headers).alias("_thread"), H.addresses_column().alias("_addresses")]
 
-    ``addresses`` are the masked lists and ``people`` the names found, both slim tables by
-    ``msg_seq``. They join before anything is masked, while a message is smallest, and on
-    the one key, so the bodies move at most once and not at all if the mail is bucketed
-    by ``msg_seq``.
-    """
-    options = options or Options()
-    texts = with_texts(drop_calendar(mail))
-    joined = texts.join(addresses, "msg_seq", "left")
-    done = with_masks(with_spans(joined, people, options), options)
-    parsed = done.select(
-        "*", H.thread_info(F.col("transport_headers")).alias("_thread"),
-        H.header_addresses(F.col("transport_headers")).alias("_addresses"))
 
+@built_once
+def _record_columns() -> list[Column]:
     def original(part: str) -> Column:
         return H.format_addresses(F.col(f"_addresses.{part}"))
 
@@ -168,4 +178,19 @@ def message_records(mail: DataFrame, addresses: DataFrame, people: DataFrame | N
         "References": F.coalesce(H.references_text(F.col("_thread.references")), F.lit("")),
         "ReplyDepth": F.coalesce(F.col("_thread.reply_depth"), F.lit(0)),
     }
-    return parsed.select("msg_seq", *keep, *[values[f].alias(f) for f in FIELDS])
+    return [values[f].alias(f) for f in FIELDS]
+
+
+def message_records(mail: DataFrame, addresses: DataFrame, people: DataFrame | None,
+                    options: Options | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Records of all mail but calendar items, with ``msg_seq`` and ``keep`` in front.
+
+    ``addresses`` are the masked lists and ``people`` the names found, both slim tables by
+    ``msg_seq``. They join before anything is masked, while a message is smallest, and on
+    the one key, so the bodies move at most once and not at all if the mail is bucketed
+    by ``msg_seq``.
+    """
+    options = options or Options()
+    texts = with_texts(drop_calendar(mail).join(addresses, "msg_seq", "left"))
+    done = with_masks(with_spans(texts, people, options), options)
+    return done.select("*", *_header_columns()).select("msg_seq", *keep, *_record_columns())

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailveil.functions.binding import let
+from mailveil.functions.binding import built_once, let
 from mailveil.functions.masking import PLACEHOLDERS, mask
 from mailveil.functions.recognizers import Recognizer, registry
 from mailveil.functions.spans import DEFAULT_THRESHOLD, above, boost_context, detect
@@ -25,12 +25,17 @@ def mask_column(text: Column, recognizers: Sequence[Recognizer],
         scored_spans(t, recognizers), lambda spans: mask(t, spans, replacements)))
 
 
+@built_once
+def _masked_column(recognizers: tuple[Recognizer, ...]) -> Column:
+    return mask_column(F.col("text"), recognizers)
+
+
 def mask_texts(texts: DataFrame, key: Column, synthetic: bool = False,
                recognizers: Sequence[Recognizer] | None = None, seed: int = DEFAULT_SEED) -> DataFrame:
     """Add ``masked`` to a table with a ``text`` column; blank texts are rejected."""
     recognizers = registry() if recognizers is None else recognizers
     kept = texts.filter(F.trim(F.col("text")) != "")
-    masked = mask_column(F.col("text"), recognizers)
+    masked = _masked_column(tuple(recognizers))
     if synthetic:
         masked = let(masked, lambda m: fill_placeholders(m, key, F.lit("text"), seed))
     return kept.withColumn("masked", masked)

@@ -58,7 +58,9 @@ def write_batches(record: DataFrame, path: str, base: str = "mail", drop_origina
     (named.repartition("batch").sortWithinPartitions("batch", "msg_seq").drop("msg_seq")
      .write.mode("overwrite").partitionBy("batch")
      .option("header", True).option("quoteAll", True).option("escape", '"')
-     .option("encoding", "UTF-8").csv(path))
+     .option("encoding", "UTF-8")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
