@@ -26,13 +26,14 @@ from mailveil.plans.message_record import (
     FIELDS, Options, find_people, joined_text, message_records, with_masks, with_spans, with_texts,
 )
 from mailveil.plans.texts import mask_texts
-from mailveil.session import settle, shared_folder
+from mailveil.session import settle, shared_folder, spread
 from mailveil.sources import csv_files, mapping as M
 from mailveil.sources.mail import MAIL_SCHEMA
 from mailveil.sources.sample_mail import load_mail, load_mapping, load_names
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+SAVED_MAPPINGS: dict[tuple[str, str], DataFrame] = {}
 
 # Parameters of the queries.
 BATCH_SIZE = 100
@@ -92,8 +93,11 @@ def occurrences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def old_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    """The mapping of an earlier run, settled as a saved mapping would be."""
-    return settle(load_mapping(spark, sf), "saved-mapping")
+    """The mapping of an earlier run: an input, so it is written once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in SAVED_MAPPINGS:
+        SAVED_MAPPINGS[key] = settle(load_mapping(spark, sf), "saved-mapping")
+    return SAVED_MAPPINGS[key]
 
 
 def run_addresses(spark: SparkSession, sf: str) -> tuple[jobs.Addresses, DataFrame]:
@@ -124,11 +128,11 @@ def plain_record(record: DataFrame, *keys: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    return spread(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id")
 
 
 # ---- sources and sinks --------------------------------------------------------------
@@ -606,7 +610,8 @@ def synthetic_redetect(spark, sf):
     """Values of each type and how many their own detector does not find again."""
     values = [F.struct(F.lit(e).alias("entity"), generate(e, F.col("msg_seq"), F.lit("body")).alias("value"))
               for e in GENERATORS if e != "PERSON"]
-    rows = load_mail(spark, sf, ["msg_seq"]).select(F.explode(F.array(*values)).alias("v")).select("v.*")
+    messages = spread(load_mail(spark, sf, ["msg_seq"]), "msg_seq")
+    rows = messages.select(F.explode(F.array(*values)).alias("v")).select("v.*")
     whole = F.exists(detect(F.col("value"), registry()), lambda s: (
         (s["entity"] == F.col("entity")) & (s["start"] == 0) & (s["end"] == F.length("value"))))
     return rows.groupBy("entity").agg(F.count("*").alias("generated"),

@@ -17,6 +17,7 @@ from mailveil.functions.recognizers import Recognizer, order_of
 
 SPAN = "struct<start:int,end:int,score:double,entity:string,place:int>"
 HIT = "struct<start:int,end:int,text:string>"
+SEPARATOR, STAND_IN = "\x01", "\x02"
 CONTEXT_GAIN = 0.35
 CONTEXT_TOKENS = 5
 DEFAULT_THRESHOLD = 0.4
@@ -40,36 +41,36 @@ def make_span(start: Column, end: Column, score: Column, entity: Column, place:
     )
 
 
+def cut_at(text: Column, pattern: str, mark: str) -> Column:
+    """The text cut at marks put in by a replacement; patterns are compiled only once so.
+
+    A separator in the text itself becomes another control character of the same length.
+    """
+    unmarked = F.replace(text, F.lit(SEPARATOR), F.lit(STAND_IN))
+    return F.split(F.regexp_replace(unmarked, pattern, mark), SEPARATOR, -1)
+
+
 def locate(text: Column, pattern: str) -> Column:
     """Non-overlapping matches with their positions, as ``array<struct<start,end,text>>``.
 
-    The matches and the gaps between them tile the text, so one running sum of their
-    lengths gives every position.
+    Cutting before and after each match gives gaps and matches in turn. They tile the
+    text, so one running sum of their lengths gives every position.
     """
-
-    def tile(hits: Column) -> Column:
-        return let(F.split(text, pattern, -1), lambda gaps: F.aggregate(
-            hits,
-            F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"),
-                     F.array().cast(f"array<{HIT}>").alias("found")),
-            lambda acc, hit: let(
-                acc["at"] + F.length(F.get(gaps, acc["i"])),
-                lambda start: F.struct(
-                    (acc["i"] + 1).alias("i"),
-                    (start + F.length(hit)).alias("at"),
-                    F.array_append(acc["found"], F.struct(
-                        start.alias("start"), (start + F.length(hit)).alias("end"),
-                        hit.alias("text"))).alias("found"),
-                ),
-            ),
-            lambda acc: acc["found"],
-        ))
-
-    return let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda hits: F.when(F.size(hits) > 0, tile(hits)).otherwise(
-            F.array().cast(f"array<{HIT}>")),
-    )
+    none = F.array().cast(f"array<{HIT}>")
+
+    def step(acc: Column, piece: Column) -> Column:
+        end = acc["at"] + F.length(piece)
+        hit = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("text"))
+        return F.struct(
+            (~acc["hit"]).alias("hit"), end.alias("at"),
+            F.when(acc["hit"], F.array_append(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
+
+    return let(cut_at(text, pattern, f"{SEPARATOR}$0{SEPARATOR}"), lambda pieces: F.when(
+        F.size(pieces) > 1, F.aggregate(
+            pieces,
+            F.struct(F.lit(False).alias("hit"), F.lit(0).alias("at"), none.alias("found")),
+            step, lambda acc: acc["found"]),
+    ).otherwise(none))
 
 
 def find(text: Column, recognizer: Recognizer, place: int) -> Column:

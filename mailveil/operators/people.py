@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from mailveil.functions import headers as H
 from mailveil.functions.binding import built_once, let
 from mailveil.functions.recognizers import PERSON, PERSON_SCORE, order_of
-from mailveil.functions.spans import make_span
+from mailveil.functions.spans import SEPARATOR, cut_at, make_span
 from mailveil.operators.lookup import hot_keys, lookup
 
-PAIR_START = r"(?<!\p{L})(?=\p{Lu}\p{L}* \p{Lu})"
+PAIR_START = r"(?=\p{Lu}\p{L}* \p{Lu})(?<!\p{L})"
 PAIR_TYPE = "struct<start:int,end:int,name:string>"
 
 
@@ -43,33 +43,29 @@ def capital_pairs(text: Column) -> Column:
     def word(piece: Column) -> Column:
         return F.regexp_extract(piece, r"^\p{L}+", 0)
 
+    def pair(pieces: Column, piece: Column, i: Column, at: Column) -> Column:
+        def both(first: Column) -> Column:
+            rest = F.substr(piece, F.length(first) + 2)
+            second = word(F.when(rest == "", F.get(pieces, i + 1)).otherwise(rest))
+            return let(second, lambda s: F.struct(
+                at.alias("start"),
+                (at + F.length(first) + 1 + F.length(s)).alias("end"),
+                F.lower(F.concat(first, F.lit(" "), s)).alias("name")))
+        return let(word(piece), both)
+
     def walk(pieces: Column) -> Column:
-        # No empty piece precedes a pair at the very start of the text.
-        leads = F.rlike(text, F.lit(r"^\p{Lu}\p{L}* \p{Lu}"))
-
-        def pair(piece: Column, i: Column, at: Column) -> Column:
-            def both(first: Column) -> Column:
-                rest = F.substr(piece, F.length(first) + 2)
-                second = word(F.when(rest == "", F.get(pieces, i + 1)).otherwise(rest))
-                return let(second, lambda s: F.struct(
-                    at.alias("start"),
-                    (at + F.length(first) + 1 + F.length(s)).alias("end"),
-                    F.lower(F.concat(first, F.lit(" "), s)).alias("name")))
-            return let(word(piece), both)
-
-        return F.aggregate(
+        return F.when(F.size(pieces) > 1, F.aggregate(
             pieces,
             F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), none.alias("found")),
             lambda acc, piece: F.struct(
                 (acc["i"] + 1).alias("i"), (acc["at"] + F.length(piece)).alias("at"),
-                F.when((acc["i"] > 0) | leads, F.array_append(
-                    acc["found"], pair(piece, acc["i"], acc["at"])))
+                F.when(acc["i"] > 0, F.array_append(
+                    acc["found"], pair(pieces, piece, acc["i"], acc["at"])))
                 .otherwise(acc["found"]).alias("found")),
             lambda acc: acc["found"],
-        )
+        )).otherwise(none)
 
-    return F.when(F.rlike(text, F.lit(r"\p{Lu}\p{L}* \p{Lu}")),
-                  let(F.split(text, PAIR_START, -1), walk)).otherwise(none)
+    return let(cut_at(text, PAIR_START, SEPARATOR), walk)
 
 
 @built_once

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mailveil.operators.people import names_table
 from mailveil.operators.pseudonyms import address_lists, address_union, assign_pseudonyms, first_seen
+from mailveil.session import spread
 from mailveil.sources.mail import MAIL_SCHEMA
 from mailveil.sources.mapping import empty_mapping
 
@@ -114,11 +115,18 @@ COLUMNS = {
 }
 
 
+# Columns that hold the text of the document.
+TEXT_SOURCES = ("plain_text_body", "body")
+
+
 def load_mail(spark: SparkSession, folder: str, columns: Iterable[str] | None = None) -> DataFrame:
     """The mail table, or some of its columns. Pages are read only for HTML bodies."""
     wanted = [f.name for f in MAIL_SCHEMA if columns is None or f.name in set(columns)]
     documents = spark.read.parquet(f"{folder}/documents.parquet")
-    rows = documents.select(F.col("doc_id").alias("i"), "text")
+    texts = [c for c in TEXT_SOURCES if c in wanted]
+    rows = documents.select(F.col("doc_id").alias("i"), *(["text"] if texts else []))
+    if texts or "transport_headers" in wanted:
+        rows = spread(rows, "i")
     if "html_body" in wanted:
         pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html")
         count = pages.agg(F.count("*")).scalar()

@@ -11,8 +11,14 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(os.environ.get("TEST_CPUS", "8"))
+def shared(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("shared"))
+
+
+@pytest.fixture(scope="session")
+def spark(shared):
+    session = local_session(
+        os.environ.get("TEST_CPUS", "8"), **{"spark.checkpoint.dir": shared})
     yield session
     session.stop()
 
