@@ -23,7 +23,8 @@ from mailveil.functions.synthetic import GENERATORS, fill_placeholders, generate
 from mailveil.operators import checks, folders, numbering, people as P, pseudonyms as A
 from mailveil.plans import jobs
 from mailveil.plans.message_record import (
-    FIELDS, Options, find_people, joined_text, message_records, with_masks, with_spans, with_texts,
+    FIELDS, Options, find_people, joined_text, message_records, with_masks, with_people,
+    with_spans, with_texts,
 )
 from mailveil.plans.texts import mask_texts
 from mailveil.session import settle, shared_folder, spread
@@ -74,7 +75,7 @@ def kept_texts(spark: SparkSession, sf: str) -> DataFrame:
 def kept_spans(spark: SparkSession, sf: str, options: Options | None = None) -> DataFrame:
     texts = kept_texts(spark, sf)
     names = settle(load_names(spark, sf), "names")
-    return with_spans(texts, find_people(texts, names), options or Options())
+    return with_spans(with_people(texts, find_people(texts, names)), options or Options())
 
 
 def kept_masks(spark: SparkSession, sf: str, synthetic: bool = False) -> DataFrame:
@@ -116,7 +117,8 @@ def records(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataFra
         mail = mail.join(settle(batches.select("msg_seq", "batch"), "batches"), "msg_seq")
     names = settle(load_names(spark, sf), "names")
     people = find_people(kept_texts(spark, sf), names)
-    return message_records(mail, jobs.masked_lists(found, full), people, keep=keep)
+    return message_records(mail, jobs.masked_lists(found, full), people, keep=keep,
+                           cluster_by="batch" if keep else None)
 
 
 def plain_record(record: DataFrame, *keys: str) -> DataFrame:

@@ -71,7 +71,8 @@ def run_archive(spark: SparkSession, mail: DataFrame, mapping_path: str, output:
     batches = settle(number_batches(good, batch_size).select("msg_seq", "batch"), "batches")
     numbered = good.join(batches, "msg_seq")
     people = find_people(with_texts(good), names)
-    records = message_records(numbered, masked_lists(found, full), people, options, keep=["batch"])
+    records = message_records(numbered, masked_lists(found, full), people, options,
+                              keep=["batch"], cluster_by="batch")
 
     written, refused = Observation("written"), Observation("refused")
     write_batches(records.observe(

@@ -96,16 +96,23 @@ def _span_columns(recognizers: tuple[Recognizer, ...], threshold: float) -> list
     ]
 
 
-def with_spans(texts: DataFrame, people: DataFrame | None, options: Options) -> DataFrame:
-    """Add ``subject_spans``, ``body_spans`` and ``joined_spans``, detecting once per field."""
+def with_people(mail: DataFrame, people: DataFrame | None) -> DataFrame:
+    """Add ``people``, the spans of names in the joined text; none without a table."""
+    if people is None:
+        return mail.select("*", no_spans().alias("people"))
+    joined = mail.join(people.withColumnRenamed("people", "_people"), "msg_seq", "left")
+    return joined.select(*mail.columns, F.coalesce("_people", no_spans()).alias("people"))
+
+
+def with_spans(texts: DataFrame, options: Options) -> DataFrame:
+    """Add ``subject_spans``, ``body_spans`` and ``joined_spans``, detecting once per field.
+
+    Names come from the column ``people``, as ``with_people`` adds it.
+    """
     recognizers = tuple(options.recognizers)
     found = texts.select("*", _found_column(recognizers).alias("_found"))
-    if people is None:
-        found = found.select("*", no_spans().alias("people"))
-    else:
-        found = found.join(people.withColumnRenamed("people", "_people"), "msg_seq", "left").select(
-            *[c for c in found.columns], F.coalesce("_people", no_spans()).alias("people"))
-    return found.select(*texts.columns, *_span_columns(recognizers, options.threshold))
+    return found.select(*[c for c in texts.columns if c != "people"],
+                        *_span_columns(recognizers, options.threshold))
 
 
 @built_once
@@ -182,15 +189,19 @@ def _record_columns() -> list[Column]:
 
 
 def message_records(mail: DataFrame, addresses: DataFrame, people: DataFrame | None,
-                    options: Options | None = None, keep: Sequence[str] = ()) -> DataFrame:
+                    options: Options | None = None, keep: Sequence[str] = (),
+                    cluster_by: str | None = None) -> DataFrame:
     """Records of all mail but calendar items, with ``msg_seq`` and ``keep`` in front.
 
     ``addresses`` are the masked lists and ``people`` the names found, both slim tables by
     ``msg_seq``. They join before anything is masked, while a message is smallest, and on
     the one key, so the bodies move at most once and not at all if the mail is bucketed
-    by ``msg_seq``.
+    by ``msg_seq``. For output grouped by a column, ``cluster_by`` moves the messages at
+    this point too: records are several times as large.
     """
     options = options or Options()
-    texts = with_texts(drop_calendar(mail).join(addresses, "msg_seq", "left"))
-    done = with_masks(with_spans(texts, people, options), options)
+    joined = with_people(drop_calendar(mail).join(addresses, "msg_seq", "left"), people)
+    if cluster_by is not None:
+        joined = joined.repartition(cluster_by)
+    done = with_masks(with_spans(with_texts(joined), options), options)
     return done.select("*", *_header_columns()).select("msg_seq", *keep, *_record_columns())

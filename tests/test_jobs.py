@@ -11,7 +11,7 @@ import catalog.queries as Q
 from mailveil.operators.folders import drop_calendar
 from mailveil.operators.people import names_table
 from mailveil.plans import jobs
-from mailveil.plans.message_record import Options, find_people, message_records, with_masks, with_spans, with_texts
+from mailveil.plans.message_record import Options, find_people, message_records, with_masks, with_people, with_spans, with_texts
 from mailveil.functions.recognizers import registry
 from mailveil.session import settle, shared_folder
 from mailveil.sources.csv_files import CSV_COLUMNS, read_csv
@@ -65,7 +65,8 @@ def test_records_do_not_depend_on_partitions(spark, mail):
 
     def run(n):
         source = mail.repartition(n)
-        masks = with_masks(with_spans(with_texts(source), find_people(with_texts(source), names), Options()), Options())
+        masks = with_masks(with_spans(
+            with_people(with_texts(source), find_people(with_texts(source), names)), Options()), Options())
         return sorted(tuple(r) for r in masks.select(
             "msg_seq", "subject_masked", "body_masked", "subject_synthetic", "body_synthetic").collect())
 
@@ -78,7 +79,7 @@ def test_joined_spans_equal_a_search_of_the_joined_text(spark):
              ("", "0412 345 678"), ("0412 345 678", ""), ("phone", "13 20 32")]
     rows = [(i, s, b) for i, (s, b) in enumerate(cases)]
     texts = spark.createDataFrame(rows, "msg_seq bigint, subject_text string, body_text string")
-    got = with_spans(texts, None, Options()).collect()
+    got = with_spans(with_people(texts, None), Options()).collect()
     for row in got:
         for column, text in (("subject_spans", row["subject_text"]), ("body_spans", row["body_text"]),
                              ("joined_spans", f"{row['subject_text']} {row['body_text']}")):

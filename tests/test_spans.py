@@ -34,7 +34,7 @@ PIECES = [
     "0412 345 678", "0412345678", "+61 412 345 678", "+61412345678", "02 9876 5432", "+61 3 9876 5432",
     "13 20 32", "1300 555 123", "1800-123-456", "1800 123 456", "123 456 782", "123-456-782",
     "51 824 753 556", "2951 74989 7", "2951749897", "12345678", "ann.lee@example.com", "10.1.2.3",
-    "300.1.1.1", "josé@x.org", " ", "  ", "\n", "\t", " ", " ", "\x0b", "\x1c", "-", ".", ",",
+    "300.1.1.1", "josé@x.org", " ", "  ", "\n", "\t", " ", " ", "\x0b", "\x1c", "\x01", "\x02", "-", ".", ",",
     "a", "é", "中", "_", "\U0001f600", "0", "4", "61", "+", "@", "mobile", "TFN", "call ",
     "«", "٠", "7", "8 ", "050",
 ]
