@@ -424,7 +424,11 @@ def max_messages(spark, sf):
 
 @query
 def sample_messages(spark, sf):
-    first = as_record(kept_masks(spark, sf)).orderBy("msg_seq").limit(SAMPLE)
+    # The first messages are taken before anything is detected or masked.
+    texts = with_texts(folders.first_messages(load_mail(spark, sf), SAMPLE)).select(
+        "msg_seq", "subject_text", "body_text")
+    people = find_people(texts, settle(load_names(spark, sf), "names"))
+    first = as_record(with_masks(with_spans(with_people(texts, people), Options()), Options(), False))
     return first.select(
         "msg_seq", "OriginalSubject", "Subject",
         T.body_preview(F.col("OriginalEmailBody")).alias("original_preview"),

@@ -13,6 +13,7 @@ from mailveil.operators.people import names_table
 from mailveil.plans import jobs
 from mailveil.plans.message_record import Options, find_people, message_records, with_masks, with_people, with_spans, with_texts
 from mailveil.functions.recognizers import registry
+from mailveil.functions.spans import DIGIT_RUN
 from mailveil.session import settle, shared_folder
 from mailveil.sources.csv_files import CSV_COLUMNS, read_csv
 from mailveil.sources.mail import read_mail, write_mail_table
@@ -115,11 +116,23 @@ def test_scans_read_only_what_is_needed(spark, mail):
     assert "PushedFilters: [IsNotNull(folder), EqualTo(folder" in text
 
 
-def test_no_python_workers_and_one_body_shuffle(spark, small):
-    text = plan(Q.QUERIES["message_record"](spark, small))
-    assert "Python" not in text and "CartesianProduct" not in text
-    with_bodies = [p for p in text.split("\n\n") if ") Exchange" in p.split("\n")[0] and "html" in p]
-    assert len(with_bodies) <= 1
+def test_record_plan(spark, mail):
+    names = settle(names_table(mail), "names")
+    people = find_people(with_texts(drop_calendar(mail)), names)
+    empty = Q.M.empty_mapping(spark)
+    lists = settle(jobs.masked_lists(jobs.survey_addresses(mail, empty), empty), "lists")
+    records = message_records(mail, lists, people)
+    text = plan(records)
+    # No Python workers, no product, bodies shuffled at most once.
+    assert "Python" not in text and "CartesianProduct" not in text and "BroadcastNestedLoop" not in text
+    steps = text.split("\n\n")
+    assert len([p for p in steps if ") Exchange" in p.split("\n")[0] and "html_body" in p]) <= 1
+    # The texts are searched once: no step repeats an expression of another.
+    logical = records._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count(DIGIT_RUN) == 1
+    # The body is cleaned for the search for names and for the record, nowhere else: each
+    # cleaning holds the comment pattern twice, for HTML bodies and for HTML in plain ones.
+    assert logical.count("<!--.*?-->") == 4
 
 
 class Unnamed:
