@@ -230,6 +230,16 @@ def dedupe(spans: Column) -> Column:
                        step, lambda acc: acc["kept"])
 
 
+def scored(text: Column, spans: Column, recognizers: Sequence[Recognizer],
+           threshold: float = DEFAULT_THRESHOLD) -> Column:
+    """Context, then duplicates of an entity where plug-ins can give any, then threshold."""
+    boosted = boost_context(text, spans, recognizers)
+    patterns = [r.entity for r in recognizers for _ in r.patterns]
+    if len(set(patterns)) < len(patterns):
+        boosted = dedupe(boosted)
+    return above(boosted, threshold)
+
+
 def merge_adjacent(text: Column, spans: Column) -> Column:
     """Join neighbours of one entity that only spaces separate. Input ordered by start."""
 

@@ -14,7 +14,7 @@ from mailveil.functions.html import message_body
 from mailveil.functions.masking import PLACEHOLDERS, mask
 from mailveil.functions.recognizers import PATTERN_RECOGNIZERS, Recognizer, registry
 from mailveil.functions.spans import (
-    DEFAULT_THRESHOLD, above, boost_context, counts_text, detect, moved, no_spans,
+    DEFAULT_THRESHOLD, counts_text, detect, moved, no_spans, scored,
 )
 from mailveil.functions.synthetic import DEFAULT_SEED, fill_placeholders
 from mailveil.operators.folders import drop_calendar
@@ -85,14 +85,14 @@ def _span_columns(recognizers: tuple[Recognizer, ...], threshold: float) -> list
     at = [F.get("_found", F.lit(i)) for i in range(3)]
     joined = F.when(F.size("_found") > 2, at[2]).otherwise(F.concat(at[0], moved(at[1], offset)))
 
-    def scored(text: Column, spans: Column) -> Column:
-        return let(spans, lambda s: F.when(F.size(s) > 0, above(
-            boost_context(text, s, recognizers), threshold)).otherwise(s))
+    def final(text: Column, spans: Column) -> Column:
+        return let(spans, lambda s: F.when(
+            F.size(s) > 0, scored(text, s, recognizers, threshold)).otherwise(s))
 
     return [
-        scored(F.col("subject_text"), F.concat(at[0], in_subject)).alias("subject_spans"),
-        scored(F.col("body_text"), F.concat(at[1], in_body)).alias("body_spans"),
-        scored(joined_text(), F.concat(joined, "people")).alias("joined_spans"),
+        final(F.col("subject_text"), F.concat(at[0], in_subject)).alias("subject_spans"),
+        final(F.col("body_text"), F.concat(at[1], in_body)).alias("body_spans"),
+        final(joined_text(), F.concat(joined, "people")).alias("joined_spans"),
     ]
 
 

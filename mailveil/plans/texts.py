@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from mailveil.functions.binding import built_once, let
 from mailveil.functions.masking import PLACEHOLDERS, mask
 from mailveil.functions.recognizers import Recognizer, registry
-from mailveil.functions.spans import DEFAULT_THRESHOLD, above, boost_context, detect
+from mailveil.functions.spans import DEFAULT_THRESHOLD, detect, scored
 from mailveil.functions.synthetic import DEFAULT_SEED, fill_placeholders
 
 
 def scored_spans(text: Column, recognizers: Sequence[Recognizer],
                  threshold: float = DEFAULT_THRESHOLD) -> Column:
-    return above(boost_context(text, detect(text, recognizers), recognizers), threshold)
+    return scored(text, detect(text, recognizers), recognizers, threshold)
 
 
 def mask_column(text: Column, recognizers: Sequence[Recognizer],

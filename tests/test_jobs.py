@@ -12,7 +12,8 @@ from mailveil.operators.folders import drop_calendar
 from mailveil.operators.people import names_table
 from mailveil.plans import jobs
 from mailveil.plans.message_record import Options, find_people, message_records, with_masks, with_people, with_spans, with_texts
-from mailveil.functions.recognizers import registry
+from mailveil.functions.masking import operators
+from mailveil.functions.recognizers import Recognizer, registry
 from mailveil.functions.spans import DIGIT_RUN
 from mailveil.session import settle, shared_folder
 from mailveil.sources.csv_files import CSV_COLUMNS, read_csv
@@ -91,6 +92,20 @@ def test_joined_spans_equal_a_search_of_the_joined_text(spark):
     assert last["joined_spans"][0]["score"] == 1.0 and last["body_spans"][0]["score"] == 0.75
 
 
+def test_plug_ins_and_own_replacements(spark):
+    """A plug-in may cross from subject to body; several patterns leave no duplicates."""
+    rows = [(1, "card 4111 1111", "1111 1111 ok"), (2, "x", "card 4111111111111111, mail a@b.org"), (3, "", "12345678")]
+    texts = with_people(spark.createDataFrame(
+        rows, "msg_seq bigint, subject_text string, body_text string"), None)
+    two = Recognizer("CARD", ((r"\b(?:\d{4}\s?){3}\d{4}\b", 0.6), (r"\b\d{8}", 0.5)), context=("card",))
+    options = Options(registry(["EMAIL_ADDRESS", "CARD"], extra=[two]), operators({"CARD": "[card]"}, defaults={}))
+    got = with_masks(with_spans(texts, options), options).orderBy("msg_seq").collect()
+    found = [sorted((s["start"], s["end"], s["entity"], s["score"]) for s in r["joined_spans"]) for r in got]
+    assert found == [[(5, 24, "CARD", 0.95)], [(7, 23, "CARD", 0.95), (30, 37, "EMAIL_ADDRESS", 1.0)],
+                     [(1, 9, "CARD", 0.5)]]
+    assert [r["body_masked"] for r in got] == ["1111 1111 ok", "card [card], mail ", "[card]"]
+
+
 def test_bodies_of_bucketed_mail_stay_in_place(spark, mail):
     write_mail_table(mail, "bucketed_mail", 8)
     table = spark.table("bucketed_mail")
