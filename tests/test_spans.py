@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailveil.functions.masking import PLACEHOLDERS, mask
 from mailveil.functions.recognizers import PATTERN_RECOGNIZERS, registry
-from mailveil.functions.spans import boost_context, dedupe, detect, make_span, merge_adjacent, resolve
+from mailveil.functions.spans import dedupe, detect, make_span, merge_adjacent, resolve
 from mailveil.functions.synthetic import fill_placeholders
 from mailveil.plans.texts import mask_column, scored_spans
 from tests import brute
