@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode
 from .common import table
 from .exact_dedup import exact_groups
 from .sharding import SLOT_PARTS, shard_documents
+from .token_counts import token_counts
 
 SHARDS = 24
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"),
+                        public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                  public_tokenizers.PATTERN, ids=False, digests=True).drop("text")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
     "op8_sharding": op8_sharding,
 }
 
