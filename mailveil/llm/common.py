@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES,
     for batch in batches:
         offsets = batch.column(text)
         start, held = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(offsets), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(offsets), 0).to_pylist()
         for i, n in enumerate(lengths):
             if i > start and held + n > limit:
                 yield batch.slice(start, i - start)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode
 from .common import table
 from .exact_dedup import exact_groups
+from .language_id import fold, identify, sample_dictionaries
 from .sharding import SLOT_PARTS, shard_documents
+from .simhash import near_groups
 from .token_counts import token_counts
 
 SHARDS = 24
@@ -29,6 +31,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                   public_tokenizers.PATTERN, ids=False, digests=True).drop("text")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), words=4, distance=4)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(5) == 0
+    learned = sample_dictionaries(docs.filter(~held_out))
+    return identify(docs, learned, ["doc_id", held_out.alias("held_out")])
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -37,6 +50,8 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_simhash": op6_simhash,
+    "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
 }
 

@@ -14,6 +14,7 @@ from functools import cache
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import text_blocks
@@ -178,7 +179,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
         count = counter(path).count
         for batch in text_blocks(batches):
             texts = batch.column("text")
-            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             counts = [count(t) if t else 0 for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(sizes, pa.int64()),
