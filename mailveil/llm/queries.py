@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode
 from .common import table
+from .decontamination import contamination
 from .exact_dedup import exact_groups
 from .language_id import fold, identify, sample_dictionaries
 from .sharding import SLOT_PARTS, shard_documents
@@ -25,6 +26,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -49,6 +54,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_decontamination": op3_decontamination,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
@@ -97,7 +103,40 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
 FROM sums JOIN won USING (doc_id)
 """
 
+# A document word is hit if any of the windows that may begin up to a window's length before
+# it is a window of an item.
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WINDOW_SQL = f"""
+WITH item_words AS (
+  SELECT item_id::VARCHAR AS item_id, regexp_extract_all({LOWER}, '{WORDS}') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1:i + 10], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS i
+        FROM item_words WHERE len(w) > 0)),
+doc_words AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '{WORDS}') AS w FROM documents),
+starts AS (
+  SELECT doc_id, i, n, array_to_string(w[i + 1:i + n], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM doc_words),
+       (SELECT DISTINCT n FROM windows)
+  WHERE i + n <= len(w)),
+found AS (SELECT doc_id, i, n, item_id FROM starts JOIN windows USING (n, win)),
+hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found))
+  GROUP BY doc_id),
+owners AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""
+
 ORACLES = {
     "op2_exact_dedup": EXACT_SQL,
+    "op3_decontamination": WINDOW_SQL,
     "op8_sharding": SHARD_SQL,
 }
