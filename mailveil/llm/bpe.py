@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_blocks
+from .common import text_blocks, with_columns
 from .merges import Machine
 
 # Encoded pieces of text are forgotten and begun anew beyond this number.
@@ -145,15 +145,13 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True,
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + list(made.values()), kept + list(made))
 
-    schema = docs.select(kept).schema
-    for name, kind in new.items():
-        schema = schema.add(name, kind)
+    schema = with_columns(docs.select(kept), ", ".join(f"{n} {k}" for n, k in new.items()))
     return docs.select(kept).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Add ``decoded``, the bytes of ``ids``. Null ids decode to null."""
-    schema = encoded.schema.add("decoded", "binary")
+    schema = with_columns(encoded, "decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # A group is hot if it holds more than one part in this many of all rows. At most this many
 # groups can, which bounds what hot_join broadcasts.
@@ -26,12 +27,9 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def ascii_lower(text: str) -> str:
-    """Lower case of A-Z alone; other letters keep their case."""
-    return text.lower() if text.isascii() else text.translate(LOWER)
-
-
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+def with_columns(rows: DataFrame, ddl: str) -> StructType:
+    """The schema of the rows with more columns at the end."""
+    return StructType([*rows.schema.fields, *StructType.fromDDL(ddl)])
 
 
 def hot_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str,

@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import text_blocks
+from .common import text_blocks, with_columns
 
 # Bytes of benchmark texts that are answered in one pass over the documents and sent to every
 # task; a larger benchmark is answered in several passes.
@@ -187,9 +186,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10,
     not read. An empty benchmark gives rows without hits.
     """
     rows = docs.select("doc_id", "text")
-    schema = StructType([*rows.schema.fields, *StructType.fromDDL(
-        "n_words long, spans array<struct<start:long,stop:long>>, items array<string>, "
-        "near_items array<string>")])
+    schema = with_columns(rows, "n_words long, spans array<struct<start:long,stop:long>>, "
+                                "items array<string>, near_items array<string>")
 
     def one_pass(rows: DataFrame, lot: list[tuple]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(test_windows(lot, size))

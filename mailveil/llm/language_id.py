@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import text_blocks, with_columns
 
 UNKNOWN = "und"
 
@@ -149,12 +149,11 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], kept: list[
     dropped nor joined, whatever their other columns; kept columns with the names of new ones
     are replaced. Texts are compressed whole.
     """
-    new = {"lang_pred": "string", "score": "double", "margin": "double", "rejected": "boolean"}
+    new = ["lang_pred", "score", "margin", "rejected"]
     rows = docs.select(*kept, F.col("text").alias("_text"))
     names = [c for c in rows.columns if c not in new and c != "_text"]
-    schema = rows.select(names).schema
-    for name, kind in new.items():
-        schema = schema.add(name, kind)
+    schema = with_columns(rows.select(names), "lang_pred string, score double, margin double, "
+                                              "rejected boolean")
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_groups
 from .language_id import fold, identify, sample_dictionaries
+from .quality import score_quality, train
 from .sharding import SLOT_PARTS, shard_documents
 from .simhash import near_groups
 from .token_counts import token_counts
@@ -51,6 +53,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is the host, the language within it the path."""
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")),
+                         F.col("source"), F.col("lang"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -59,6 +68,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
+    "op10_quality": op10_quality,
 }
 
 EXACT_SQL = """
