@@ -11,9 +11,11 @@ from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_groups
 from .language_id import fold, identify, sample_dictionaries
+from .lm_scoring import score_texts
 from .quality import score_quality, train
 from .sharding import SLOT_PARTS, shard_documents
 from .simhash import near_groups
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 
 SHARDS = 24
@@ -32,6 +34,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(7) == 2
+    scores = score_texts(docs, ~held_out)
+    return scores.withColumn("held_out", held_out)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -53,6 +61,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source is the host, the language within it the path."""
     docs = table(spark, sf_dir, "documents")
@@ -64,10 +76,12 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
 }
 
