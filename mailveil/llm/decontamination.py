@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_blocks, with_columns
@@ -172,8 +172,8 @@ def benchmark_passes(benchmark: DataFrame) -> list[list[tuple]]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10,
-                       reach: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_words, spans, items, near_items.
+                       reach: int | None = None, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: the ``kept`` columns, n_words, spans, items, near_items.
 
     ``spans`` are the maximal runs of words inside occurrences of windows, as word numbers
     from 0, the end excluded; ``items`` the item ids, as strings in order, with a window in
@@ -182,10 +182,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10,
     ``reach`` is at least ``size``), else null.
 
     Null and empty texts have no words and no hits. Items without id, text or words are never
-    found. Repeated items count once, repeated documents each give a row. Other columns are
-    not read. An empty benchmark gives rows without hits.
+    found. Repeated items count once, repeated documents each give a row. Kept columns with the
+    names of new ones are replaced, others not read. An empty benchmark gives rows without
+    hits.
     """
-    rows = docs.select("doc_id", "text")
+    kept = [c for c in kept if c not in FOUND]
+    rows = docs.select(*kept, F.col("text").alias("_text"))
     schema = with_columns(rows, "n_words long, spans array<struct<start:long,stop:long>>, "
                                 "items array<string>, near_items array<string>")
 
@@ -194,17 +196,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10,
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = shared.value
-            for batch in text_blocks(batches):
-                documents = [words(t) for t in batch.column("text").to_pylist()]
+            for batch in text_blocks(batches, text="_text"):
+                documents = [words(t) for t in batch.column("_text").to_pylist()]
                 spans, exact, nearby = search_block(documents, windows, reach)
                 if "spans" in batch.schema.names:  # what earlier passes found
-                    for d, row in enumerate(batch.select(["spans", "items", "near_items"]).to_pylist()):
+                    for d, row in enumerate(batch.select(FOUND[1:]).to_pylist()):
                         spans[d] = merge_spans(
                             [*spans[d], *((x["start"], x["stop"]) for x in row["spans"])])
                         exact[d].update(row["items"])
                         nearby[d].update(row["near_items"] or ())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), batch.column("text"),
+                    *[batch.column(c) for c in [*kept, "_text"]],
                     pa.array([len(d) for d in documents], pa.int64()),
                     pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], SPANS),
                     pa.array([sorted(e) for e in exact], pa.list_(pa.string())),
@@ -216,9 +218,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10,
 
     for lot in benchmark_passes(benchmark) or [[]]:
         rows = one_pass(rows, lot)
-    return rows.drop("text")
+    return rows.drop("_text")
 
 
+FOUND = ["n_words", "spans", "items", "near_items"]
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
@@ -226,18 +229,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     """The findings as figures: n_hit words in spans, n_items, a digest of the items, and
     whether any word is hit."""
     found = find_contamination(docs, benchmark, size)
-    hit = F.aggregate("spans", F.lit(0).cast("long"),
-                      lambda n, s: n + s["stop"] - s["start"])
     return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "n_words", hit_words().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        (hit > 0).alias("contaminated"))
+        (hit_words() > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10,
-                      least: float = 0.0) -> DataFrame:
-    """The documents of which at most the share ``least`` of the words is hit."""
-    figures = contamination(docs, benchmark, size)
-    bad = figures.filter(F.col("n_hit") > F.col("n_words") * F.lit(least)).select(
-        F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+def hit_words() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The documents without any hit, with all their columns; nothing is shuffled."""
+    clash = {c: f"_own_{c}" for c in docs.columns if c in FOUND}
+    rows = docs.withColumnsRenamed(clash)
+    found = find_contamination(rows, benchmark, size, kept=tuple(rows.columns))
+    return found.filter(hit_words() == 0).select(
+        *[F.col(clash.get(c, c)).alias(c) for c in docs.columns])

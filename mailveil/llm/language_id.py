@@ -151,15 +151,20 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], kept: list[
     """
     new = ["lang_pred", "score", "margin", "rejected"]
     rows = docs.select(*kept, F.col("text").alias("_text"))
-    names = [c for c in rows.columns if c not in new and c != "_text"]
+    names = [c for c in rows.columns if c not in new and c not in ("text", "_text")]
+    whole = "text" in rows.columns  # it need not go to the task and back twice
+    if whole:
+        rows = rows.drop("text").withColumn("text", F.col("_text")).drop("_text")
+        names.append("text")
+    body = "text" if whole else "_text"
     schema = with_columns(rows.select(names), "lang_pred string, score double, margin double, "
                                               "rejected boolean")
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(shared.value).classify
-        for batch in text_blocks(batches, text="_text"):
-            found = [classify(t) for t in batch.column("_text").to_pylist()]
+        for batch in text_blocks(batches, text=body):
+            found = [classify(t) for t in batch.column(body).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 *[batch.column(n) for n in names],
                 pa.array([f[0] for f in found], pa.string()),
@@ -171,6 +176,20 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], kept: list[
     return rows.mapInArrow(run, schema)
 
 
+def drop_unidentified(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The documents whose language is told, with all their columns.
+
+    Learns from the rows with a language outside fold 0 of 5; where there are none, no
+    language is known and nothing stays.
+    """
+    learned = sample_dictionaries(docs.filter(fold(5) != 0))
+    new = ("lang_pred", "score", "margin", "rejected")
+    clash = {c: f"_own_{c}" for c in docs.columns if c in new}
+    rows = docs.withColumnsRenamed(clash)
+    return identify(rows, learned, rows.columns, min_margin).filter(~F.col("rejected")).select(
+        *[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+
+
 def fold(parts: int) -> Column:
     """The fold of a document, from its id alone."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
