@@ -183,8 +183,7 @@ SELECT msg_seq, coalesce(subject, '') AS subject_text,
                 transport_headers, '') AS chosen
 FROM kept"""
 CTES["texts"] = f"""
-SELECT msg_seq, subject_text, left(body, 65535) AS body_text,
-       subject_text || ' ' || left(body, 65535) AS joined_text
+SELECT msg_seq, subject_text, body AS body_text, subject_text || ' ' || body AS joined_text
 FROM (SELECT *, CASE WHEN {is_html('chosen')} THEN {html_text('chosen')} ELSE chosen END AS body FROM chosen)"""
 CTES["fields"] = """
 SELECT msg_seq AS k, 'subject' AS field, subject_text AS txt FROM texts
@@ -401,9 +400,9 @@ def generated(entity: str, message: str, field: str, seed: int = 42) -> str:
     body = d.digits(0, 8)
     tail = d.digits(0, 9)
     rest = f"((89 - {weighted(tail, ABN_WEIGHTS[2:])} % 89) % 89)"
-    tries = (f"list_transform(range(0, 16), lambda t: {d.digits('t', 8)} || "
-             f"({weighted(d.digits('t', 8), TFN_WEIGHTS[:8])} % 11))")
-    tfn = f"list_filter({tries}, lambda v: length(v) = 9)[1]"
+    tfn_check = f"({weighted(body, TFN_WEIGHTS[:8])} % 11)"
+    tfn = (f"CASE WHEN {tfn_check} < 10 THEN {body} || {tfn_check} WHEN right({body}, 1) = '9' "
+           f"THEN left({body}, 7) || '06' ELSE left({body}, 7) || (right({body}, 1)::INT + 1) || '8' END")
     return {
         "PERSON": f"{d.pick(0, FIRST_NAMES)} || ' ' || {d.pick(1, LAST_NAMES)}",
         "EMAIL_ADDRESS": f"lower({d.pick(0, FIRST_NAMES)} || {d.pick(1, LAST_NAMES)}) || '.' || "
@@ -701,11 +700,8 @@ SELECT msg_seq, string_agg(CASE WHEN name = '' THEN p WHEN contains(name, ',') T
                                 ELSE name || ' <' || p || '>' END, ', ' ORDER BY pos) AS header_masked
 FROM (SELECT a.*, coalesce(m.anonymized_email, a.email) AS p
       FROM address_rows a LEFT JOIN old_mapping m ON m.norm_email = lower(trim(a.email))
-      WHERE a.field = 2 AND a.msg_seq IN (SELECT msg_seq FROM kept)
-        AND a.pos < (SELECT count(*) FROM first_to f WHERE f.msg_seq = a.msg_seq)) GROUP BY msg_seq""",
-        [*ADDRESSES, "kept", "old_mapping"], {"first_to": """
-SELECT msg_seq, unnest(regexp_extract_all(value, '(?:[^",]+|"[^"]*")+')) AS item FROM header_rows h
-WHERE name = 'to' AND ln = (SELECT min(g.ln) FROM header_rows g WHERE g.msg_seq = h.msg_seq AND g.name = 'to')"""})
+      WHERE a.field = 2 AND a.msg_seq IN (SELECT msg_seq FROM kept)) GROUP BY msg_seq""",
+        [*ADDRESSES, "kept", "old_mapping"])
     out["pseudonym_messages"] = sql("""
 SELECT msg_seq, coalesce(masked_from, '') AS masked_from, coalesce(masked_to, '') AS masked_to,
        coalesce(masked_cc, '') AS masked_cc FROM masked_addresses""", [*MAPPINGS, "masked_addresses"])

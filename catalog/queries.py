@@ -27,20 +27,21 @@ from mailveil.plans.message_record import (
     with_spans, with_texts,
 )
 from mailveil.plans.texts import mask_texts
-from mailveil.session import settle, shared_folder, spread
+from mailveil.session import settle, shared_folder
 from mailveil.sources import csv_files, mapping as M
 from mailveil.sources.mail import MAIL_SCHEMA
 from mailveil.sources.sample_mail import load_mail, load_mapping, load_names
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SAVED_MAPPINGS: dict[tuple[str, str], DataFrame] = {}
 
 # Parameters of the queries.
 BATCH_SIZE = 100
+MAX_BODY = 65535
 FOLDER_CAP = 50
 MESSAGES_PER_FOLDER = 100
 FIRST_MESSAGES = 150
+ONE_FOLDER_MESSAGES = 200
 SAMPLE = 20
 THRESHOLD = 0.8
 FOLDER_PATH = "TOP/inbox"
@@ -83,7 +84,9 @@ def kept_masks(spark: SparkSession, sf: str, synthetic: bool = False) -> DataFra
 
 
 def span_rows(df: DataFrame, spans: Column, *keys: str) -> DataFrame:
-    rows = df.select(*keys, F.explode(spans).alias("s"))
+    # Spark filters on the array it explodes; on a bare column that filter would move down
+    # past the detection and repeat it.
+    rows = df.select(*keys, F.explode(F.filter(spans, lambda s: s.isNotNull())).alias("s"))
     return rows.select(
         *keys, F.col("s.entity").alias("entity"), F.col("s.start").cast("bigint").alias("start_pos"),
         F.col("s.end").cast("bigint").alias("end_pos"), F.col("s.score").alias("score"))
@@ -94,11 +97,9 @@ def occurrences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def old_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    """The mapping of an earlier run: an input, so it is written once per application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in SAVED_MAPPINGS:
-        SAVED_MAPPINGS[key] = settle(load_mapping(spark, sf), "saved-mapping")
-    return SAVED_MAPPINGS[key]
+    """The mapping of an earlier run, an input. It is derived anew for each query, which
+    may read it several times."""
+    return settle(load_mapping(spark, sf), "saved-mapping")
 
 
 def run_addresses(spark: SparkSession, sf: str) -> tuple[jobs.Addresses, DataFrame]:
@@ -130,11 +131,11 @@ def plain_record(record: DataFrame, *keys: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id")
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
 
 
 # ---- sources and sinks --------------------------------------------------------------
@@ -185,13 +186,14 @@ def written_batches(spark: SparkSession, sf: str) -> str:
 
 @query
 def csv_batches(spark, sf):
-    rows = csv_files.read_csv(spark, written_batches(spark, sf))
-    return rows.select("batch", *csv_files.CSV_COLUMNS)
+    rows = csv_files.read_batches(spark, written_batches(spark, sf))
+    text = {c: F.col(c).cast("string").alias(c) for c in csv_files.NUMBERS}
+    return rows.select("batch", *[text.get(c, F.col(c)) for c in csv_files.CSV_COLUMNS])
 
 
 @query
 def csv_preview(spark, sf):
-    rows = csv_files.read_csv(spark, written_batches(spark, sf), infer=True)
+    rows = csv_files.read_batches(spark, written_batches(spark, sf))
     first = csv_files.preview(rows, 100, "MessageId", "EmailReceivedDate")
     return first.select("MessageId", "SubjectMasked", "PIIEntitiesFound",
                         F.col("PIICount").cast("bigint").alias("PIICount"),
@@ -222,7 +224,7 @@ def folder_path_match(spark, sf):
 @query
 def read_folder(spark, sf):
     mail = load_mail(spark, sf, ["msg_seq", "folder", "message_class", "subject"])
-    return folders.read_folder(mail, ONE_FOLDER_PATH).select("msg_seq", "folder", "subject")
+    return folders.read_folder(mail, ONE_FOLDER_PATH, ONE_FOLDER_MESSAGES).select("msg_seq", "folder", "subject")
 
 
 @query
@@ -244,7 +246,7 @@ def html_sniff(spark, sf):
 
 @query
 def body_truncate(spark, sf):
-    body = truncate_body(F.repeat("text", F.lit(8)))
+    body = truncate_body(F.repeat("text", F.lit(8)), MAX_BODY)
     return documents(spark, sf).select("doc_id", body.alias("body")).select(
         "doc_id", F.length("body").cast("bigint").alias("n_chars"), F.md5("body").alias("digest"))
 
@@ -616,7 +618,7 @@ def synthetic_redetect(spark, sf):
     """Values of each type and how many their own detector does not find again."""
     values = [F.struct(F.lit(e).alias("entity"), generate(e, F.col("msg_seq"), F.lit("body")).alias("value"))
               for e in GENERATORS if e != "PERSON"]
-    messages = spread(load_mail(spark, sf, ["msg_seq"]), "msg_seq")
+    messages = load_mail(spark, sf, ["msg_seq"])
     rows = messages.select(F.explode(F.array(*values)).alias("v")).select("v.*")
     whole = F.exists(detect(F.col("value"), registry()), lambda s: (
         (s["entity"] == F.col("entity")) & (s["start"] == 0) & (s["end"] == F.length("value"))))

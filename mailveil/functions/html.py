@@ -32,7 +32,6 @@ ENTITIES = (
 )
 # Openings that tell HTML from plain text.
 HTML_SIGNS = ("<html", "<body", "<div")
-MAX_BODY = 65535
 
 
 def html_to_text(html: Column) -> Column:
@@ -54,8 +53,8 @@ def clean_if_html(text: Column) -> Column:
         F.contains(t, F.lit("<")) & looks_like_html(t), html_to_text(t)).otherwise(t))
 
 
-def truncate_body(body: Column) -> Column:
-    return F.substring(body, 1, MAX_BODY)
+def truncate_body(body: Column, n: int) -> Column:
+    return F.substring(body, 1, n)
 
 
 def select_body(plain: Column, body: Column, html: Column, headers: Column) -> Column:
@@ -72,5 +71,9 @@ def select_body(plain: Column, body: Column, html: Column, headers: Column) -> C
     )
 
 
-def message_body(plain: Column, body: Column, html: Column, headers: Column) -> Column:
-    return truncate_body(clean_if_html(select_body(plain, body, html, headers)))
+def message_body(plain: Column, body: Column, html: Column, headers: Column,
+                 max_body: int | None = None) -> Column:
+    """The cleaned body, whole unless a length is given. A number that the cut leaves in part
+    is not found, so a length does not protect what stands at its edge."""
+    whole = clean_if_html(select_body(plain, body, html, headers))
+    return whole if max_body is None else truncate_body(whole, max_body)

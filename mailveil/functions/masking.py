@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailveil.functions.binding import let
+from mailveil.functions.folding import cut_out
 from mailveil.functions.spans import merge_adjacent, resolve
 
 # Placeholder of each entity. An entity that has none is removed.
@@ -39,16 +40,16 @@ def replace_spans(text: Column, ordered: Column, replacements: Mapping[str, str]
     table = F.create_map(*[F.lit(x) for pair in replacements.items() for x in pair])
 
     def rebuild(spans: Column) -> Column:
-        def piece(span: Column, i: Column) -> Column:
+        def gap(span: Column, i: Column) -> Column:
             done = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
-            return F.concat(
-                F.substr(text, done + 1, F.greatest(span["start"] - done, F.lit(0))),
-                F.coalesce(F.try_element_at(table, span["entity"]), F.lit("")),
-            )
+            return F.struct(done.alias("start"), span["start"].alias("end"))
 
+        kept = cut_out(text, F.transform(spans, gap))
+        written = F.transform(
+            spans, lambda s: F.coalesce(F.try_element_at(table, s["entity"]), F.lit("")))
         tail = F.substr(text, F.element_at(spans, -1)["end"] + 1)
-        return F.when(F.size(spans) == 0, text).otherwise(
-            F.concat(F.array_join(F.transform(spans, piece), ""), tail))
+        return F.when(F.size(spans) == 0, text).otherwise(F.concat(
+            F.array_join(F.zip_with(kept, written, lambda k, w: F.concat(k, w)), ""), tail))
 
     return let(ordered, rebuild)
 

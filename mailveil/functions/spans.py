@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailveil.functions.binding import let
+from mailveil.functions.folding import cut_out, fold, running, side_by_side
 from mailveil.functions.patterns import SPACE, widen
 from mailveil.functions.recognizers import Recognizer, order_of
 
@@ -23,8 +24,9 @@ CONTEXT_TOKENS = 5
 DEFAULT_THRESHOLD = 0.4
 
 # Six or more digits with at most one space or hyphen between two, as far as they go.
-# Each match of a numeric pattern lies within one such run.
-DIGIT_RUN = rf"\+?[0-9](?:[-{SPACE}]?[0-9]){{5,}}"
+# Each match of a numeric pattern lies within one such run. The repetition is possessive:
+# giving a digit back never helps, and a group that may is matched by recursion.
+DIGIT_RUN = rf"\+?[0-9](?:[-{SPACE}]?[0-9]){{5,}}+"
 # Text looked at first for the tokens before a span; all of it if that holds too few.
 CONTEXT_REACH = 200
 
@@ -58,19 +60,17 @@ def locate(text: Column, pattern: str) -> Column:
     """
     none = F.array().cast(f"array<{HIT}>")
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        hit = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("text"))
-        return F.struct(
-            (~acc["hit"]).alias("hit"), end.alias("at"),
-            F.when(acc["hit"], F.array_append(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
+    def hits(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, F.length), 0, lambda at, n: at + n)
+        placed = side_by_side(pieces, ends, "text", "end")
+        # Gaps and matches in turn, a gap first.
+        matches = F.filter(placed, lambda p, i: i % 2 == 1)
+        return F.transform(matches, lambda p: F.struct(
+            (p["end"] - F.length(p["text"])).alias("start"), p["end"].alias("end"),
+            p["text"].alias("text")))
 
     return let(cut_at(text, pattern, f"{SEPARATOR}$0{SEPARATOR}"), lambda pieces: F.when(
-        F.size(pieces) > 1, F.aggregate(
-            pieces,
-            F.struct(F.lit(False).alias("hit"), F.lit(0).alias("at"), none.alias("found")),
-            step, lambda acc: acc["found"]),
-    ).otherwise(none))
+        F.size(pieces) > 1, let(pieces, hits)).otherwise(none))
 
 
 def find(text: Column, recognizer: Recognizer, place: int) -> Column:
@@ -131,30 +131,38 @@ def boost_context(text: Column, spans: Column, recognizers: Sequence[Recognizer]
         for part in (F.lit(entity), F.array(*[F.lit(w) for w in listed]))
     ])
 
-    def pieces(text: Column, end: Column, length: Column) -> Column:
-        before = F.substr(text, end - length + 1, length)
+    def pieces(before: Column) -> Column:
         # One piece may be empty, one is the rest.
         return F.split(F.reverse(before), "[^A-Za-z0-9]+", CONTEXT_TOKENS + 2)
 
-    def near(text: Column, span: Column, listed: Column) -> Column:
+    def near(text: Column, span: Column, before: Column, listed: Column) -> Column:
         end = span["start"]
-        all_pieces = let(pieces(text, end, F.least(end, F.lit(CONTEXT_REACH))), lambda close: F.when(
+        all_pieces = let(pieces(before), lambda close: F.when(
             (F.size(close) == CONTEXT_TOKENS + 2) | (end <= CONTEXT_REACH), close,
-        ).otherwise(pieces(text, end, end)))
+        ).otherwise(pieces(F.substr(text, F.lit(1), end))))
         tokens = F.slice(F.filter(all_pieces, lambda p: p != ""), 1, CONTEXT_TOKENS)
         tokens = F.transform(tokens, lambda t: F.lower(F.reverse(t)))
         return let(tokens, lambda ts: F.exists(
             listed, lambda word: F.exists(ts, lambda t: F.contains(t, word))))
 
-    def boosted(text: Column, span: Column) -> Column:
-        gained = let(F.try_element_at(table, span["entity"]),
-                     lambda listed: F.when(listed.isNotNull() & near(text, span, listed), F.lit(CONTEXT_GAIN))
-                     .otherwise(F.lit(0.0)))
+    def boosted(text: Column, span: Column, before: Column) -> Column:
+        gained = let(F.try_element_at(table, span["entity"]), lambda listed: F.when(
+            listed.isNotNull() & near(text, span, before, listed), F.lit(CONTEXT_GAIN),
+        ).otherwise(F.lit(0.0)))
         score = F.when(span["score"] < 1.0, F.least(F.lit(1.0), span["score"] + gained)
                        ).otherwise(span["score"])
         return make_span(span["start"], span["end"], score, span["entity"], span["place"])
 
-    return let(text, lambda t: F.transform(spans, lambda s: boosted(t, s)))
+    def all_boosted(t: Column, found: Column) -> Column:
+        # Spans with nothing to gain get an empty range.
+        reach = F.transform(found, lambda s: F.struct(
+            F.when((s["score"] < 1.0) & s["entity"].isin(*words),
+                   F.greatest(s["start"] - CONTEXT_REACH, F.lit(0))).otherwise(s["start"])
+            .alias("start"), s["start"].alias("end")))
+        pairs = side_by_side(found, cut_out(t, reach), "span", "before")
+        return F.transform(pairs, lambda p: boosted(t, p["span"], p["before"]))
+
+    return let(text, lambda t: let(spans, lambda found: all_boosted(t, found)))
 
 
 def above(spans: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:
@@ -183,18 +191,6 @@ def _ranked(spans: Column, *keys: str) -> Column:
     return F.transform(F.array_sort(F.transform(spans, keyed)), lambda r: r["span"])
 
 
-def _sweep(ordered: Column, blocks) -> Column:
-    """Keep each span unless the state says an earlier one covers it."""
-    return F.aggregate(
-        ordered,
-        F.struct(F.lit(-1).alias("reach"), no_spans().alias("kept")),
-        lambda acc, s: F.when(blocks(acc, s), acc).otherwise(F.struct(
-            F.greatest(acc["reach"], s["end"]).alias("reach"),
-            F.array_append(acc["kept"], s).alias("kept"))),
-        lambda acc: acc["kept"],
-    )
-
-
 def resolve(spans: Column) -> Column:
     """Drop spans inside another one; on the same range the better score wins.
 
@@ -202,9 +198,13 @@ def resolve(spans: Column) -> Column:
     exactly if an earlier one reaches its end, so one sweep does it. Partial overlaps
     stay. The result is ordered by start.
     """
-    return let(spans, lambda all_spans: F.when(F.size(all_spans) > 1, _sweep(
-        _ranked(all_spans, "start", "-end", "-score", "place"),
-        lambda acc, s: s["end"] <= acc["reach"],
+    def uncovered(ordered: Column) -> Column:
+        ends = running(F.transform(ordered, lambda s: s["end"]), -1, F.greatest)
+        return let(ends, lambda reach: F.filter(
+            ordered, lambda s, i: (i == 0) | (s["end"] > F.get(reach, i - 1))))
+
+    return let(spans, lambda all_spans: F.when(F.size(all_spans) > 1, let(
+        _ranked(all_spans, "start", "-end", "-score", "place"), uncovered,
     )).otherwise(all_spans))
 
 
@@ -216,18 +216,15 @@ def dedupe(spans: Column) -> Column:
     """
     ordered = _ranked(spans, "start", "-end", "-score", "place")
 
-    def step(acc: Column, s: Column) -> Column:
+    def step(still: Column, s: Column) -> tuple[Column, Column]:
         # Only spans still open at this start can contain it.
-        still_open = F.filter(acc["open"], lambda k: k["end"] > s["start"])
-        return let(still_open, lambda open_spans: F.when(
-            F.exists(open_spans, lambda k: (k["entity"] == s["entity"]) & (k["end"] >= s["end"])
-                     & (k["score"] >= s["score"])),
-            F.struct(open_spans.alias("open"), acc["kept"].alias("kept")),
-        ).otherwise(F.struct(F.array_append(open_spans, s).alias("open"),
-                             F.array_append(acc["kept"], s).alias("kept"))))
+        still_open = F.filter(still, lambda k: k["end"] > s["start"])
+        covered = F.exists(still_open, lambda k: (k["entity"] == s["entity"])
+                           & (k["end"] >= s["end"]) & (k["score"] >= s["score"]))
+        return (F.when(covered, still_open).otherwise(F.array_append(still_open, s)),
+                F.when(covered, no_spans()).otherwise(F.array(s)))
 
-    return F.aggregate(ordered, F.struct(no_spans().alias("open"), no_spans().alias("kept")),
-                       step, lambda acc: acc["kept"])
+    return fold(ordered, no_spans(), no_spans(), step)["out"]
 
 
 def scored(text: Column, spans: Column, recognizers: Sequence[Recognizer],
@@ -243,26 +240,27 @@ def scored(text: Column, spans: Column, recognizers: Sequence[Recognizer],
 def merge_adjacent(text: Column, spans: Column) -> Column:
     """Join neighbours of one entity that only spaces separate. Input ordered by start."""
 
-    def joins(last: Column, s: Column) -> Column:
-        between = F.substr(text, last["end"] + 1, s["start"] - last["end"])
-        return (last["entity"] == s["entity"]) & (s["start"] > last["end"]) & (F.trim(between) == "")
-
-    def step(acc: Column, s: Column) -> Column:
-        last = acc["last"]
-        joined = make_span(last["start"], s["end"], F.greatest(last["score"], s["score"]),
-                           last["entity"], last["place"])
-        return (
-            F.when(last.isNull(), F.struct(s.alias("last"), acc["done"].alias("done")))
-            .when(joins(last, s), F.struct(joined.alias("last"), acc["done"].alias("done")))
-            .otherwise(F.struct(s.alias("last"),
-                                F.array_append(acc["done"], last).alias("done")))
-        )
-
-    return let(spans, lambda ordered: F.when(F.size(ordered) > 1, F.aggregate(
-        ordered,
-        F.struct(F.lit(None).cast(SPAN).alias("last"), no_spans().alias("done")),
-        step, lambda acc: F.array_append(acc["done"], acc["last"]),
-    )).otherwise(ordered))
+    def merge(ordered: Column) -> Column:
+        def gap(s: Column, i: Column) -> Column:
+            before = F.get(ordered, i - 1)
+            near = (i > 0) & (before["entity"] == s["entity"]) & (s["start"] > before["end"])
+            # An empty range where nothing can be joined, so nothing is cut out there.
+            return F.struct(F.when(near, before["end"]).otherwise(s["start"]).alias("start"),
+                            s["start"].alias("end"))
+
+        def islands(joins: Column) -> Column:
+            places = F.sequence(F.lit(0), F.size(ordered) - 1)
+            firsts = F.filter(places, lambda i: ~F.get(joins, i))
+            lasts = F.filter(places, lambda i: ~F.coalesce(F.get(joins, i + 1), F.lit(False)))
+            return F.zip_with(firsts, lasts, lambda a, b: make_span(
+                F.get(ordered, a)["start"], F.get(ordered, b)["end"],
+                F.array_max(F.transform(F.slice(ordered, a + 1, b - a + 1), lambda s: s["score"])),
+                F.get(ordered, a)["entity"], F.get(ordered, a)["place"]))
+
+        gaps = cut_out(text, F.transform(ordered, gap))
+        return let(F.transform(gaps, lambda g: (g != "") & (F.trim(g) == "")), islands)
+
+    return let(spans, lambda ordered: F.when(F.size(ordered) > 1, merge(ordered)).otherwise(ordered))
 
 
 def counts_text(spans: Column) -> Column:

@@ -26,8 +26,8 @@ LAST_NAMES = (
     "Abbott", "Barlow", "Carver", "Drummond", "Ellery", "Forster", "Gibbs", "Hartley",
     "Irwin", "Jarvis", "Keating", "Lambert", "Murdoch", "Norris", "Osborne", "Pryor",
 )
+# Area codes of landlines.
 AREA_CODES = ("02", "03", "07", "08")
-TFN_TRIES = 16
 
 
 class Draws:
@@ -68,13 +68,15 @@ def grouped(digits: Column, sizes: tuple[int, ...], separator: str) -> Column:
 
 
 def gen_tfn(draws: Draws) -> Column:
-    """The ninth digit is the weighted sum mod 11; ten has no digit, so draw again."""
-    tries = F.transform(F.sequence(F.lit(0), F.lit(TFN_TRIES - 1)), lambda i: let(
-        draws.digits(i, 8),
-        lambda d: F.struct(d.alias("body"), (weighted_sum(d, TFN_WEIGHTS[:8]) % 11).alias("check"))))
-    usable = F.get(F.filter(tries, lambda t: t["check"] < 10), F.lit(0))
-    number = let(usable, lambda t: F.concat(t["body"], t["check"].cast("string")))
-    return grouped(F.coalesce(number, F.lit("000000000")), (3, 3, 3), "-")
+    """The ninth digit is the weighted sum mod 11. Ten is no digit; the eighth is then raised
+    by one, nine to zero, which weighs 9 and makes it 8, or 6 after the wrap."""
+    def whole(body: Column) -> Column:
+        check, last = weighted_sum(body, TFN_WEIGHTS[:8]) % 11, F.right(body, F.lit(1))
+        raised = F.concat(F.substring(body, 1, 7), ((last.cast("int") + 1) % 10).cast("string"))
+        return F.when(check < 10, F.concat(body, check.cast("string"))).otherwise(
+            F.concat(raised, F.when(last == "9", F.lit("6")).otherwise(F.lit("8"))))
+
+    return grouped(let(draws.digits(0, 8), whole), (3, 3, 3), "-")
 
 
 def gen_abn(draws: Draws) -> Column:

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 # Message classes that are no mail.
 CALENDAR_CLASSES = ("IPM.Appointment", "IPM.Schedule.Meeting", "IPM.Task", "IPM.Activity")
-FOLDER_LIMIT = 200
-PER_FOLDER_LIMIT = 1000
 # First messages of a folder are ranked within ranges of this many sequence values first.
 RANK_RANGE = 100_000
 
@@ -47,13 +45,13 @@ def first_messages(mail: DataFrame, n: int | None) -> DataFrame:
     return kept if n is None else kept.orderBy("msg_seq").limit(n)
 
 
-def read_folder(mail: DataFrame, path: str, n: int = FOLDER_LIMIT) -> DataFrame:
-    """First messages of the folder a path names."""
+def read_folder(mail: DataFrame, path: str, n: int | None = None) -> DataFrame:
+    """Messages of the folder a path names, the first ``n`` if a number is given."""
     target = find_folder(mail, path).scalar()
     return first_messages(mail.filter(F.col("folder") == target), n)
 
 
-def first_per_folder(mail: DataFrame, n: int = PER_FOLDER_LIMIT) -> DataFrame:
+def first_per_folder(mail: DataFrame, n: int) -> DataFrame:
     """``(folder, msg_seq, place)`` of the first ``n`` messages of each folder.
 
     Only two slim columns are ranked, and in two steps: a folder with a large share of
@@ -78,7 +76,12 @@ def first_per_folder(mail: DataFrame, n: int = PER_FOLDER_LIMIT) -> DataFrame:
     )
 
 
-def folder_messages(mail: DataFrame, n: int = PER_FOLDER_LIMIT) -> DataFrame:
-    """Messages of each folder, at most ``n``. The join key is unique per message."""
+def folder_messages(mail: DataFrame, n: int | None = None) -> DataFrame:
+    """Messages of each folder, all or the first ``n`` of each with their ``place``.
+
+    The join key is unique per message.
+    """
+    if n is None:
+        return drop_calendar(mail)
     chosen = first_per_folder(mail, n).select("msg_seq", "place")
     return mail.join(chosen, "msg_seq")

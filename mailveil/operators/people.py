@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from mailveil.functions import headers as H
 from mailveil.functions.binding import built_once, let
+from mailveil.functions.folding import running
 from mailveil.functions.recognizers import PERSON, PERSON_SCORE, order_of
 from mailveil.functions.spans import SEPARATOR, cut_at, make_span
-from mailveil.operators.lookup import hot_keys, lookup
+from mailveil.operators.lookup import hot_keys
+from mailveil.session import settle
 
 PAIR_START = r"(?=\p{Lu}\p{L}* \p{Lu})(?<!\p{L})"
 PAIR_TYPE = "struct<start:int,end:int,name:string>"
@@ -53,17 +55,14 @@ def capital_pairs(text: Column) -> Column:
                 F.lower(F.concat(first, F.lit(" "), s)).alias("name")))
         return let(word(piece), both)
 
+    def pairs(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, F.length), 0, lambda at, n: at + n)
+        return let(ends, lambda e: F.filter(
+            F.transform(pieces, lambda piece, i: F.when(
+                i > 0, pair(pieces, piece, i, F.get(e, i - 1)))), lambda p: p.isNotNull()))
+
     def walk(pieces: Column) -> Column:
-        return F.when(F.size(pieces) > 1, F.aggregate(
-            pieces,
-            F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), none.alias("found")),
-            lambda acc, piece: F.struct(
-                (acc["i"] + 1).alias("i"), (acc["at"] + F.length(piece)).alias("at"),
-                F.when(acc["i"] > 0, F.array_append(
-                    acc["found"], pair(pieces, piece, acc["i"], acc["at"])))
-                .otherwise(acc["found"]).alias("found")),
-            lambda acc: acc["found"],
-        )).otherwise(none)
+        return F.when(F.size(pieces) > 1, pairs(pieces)).otherwise(none)
 
     return let(cut_at(text, PAIR_START, SEPARATOR), walk)
 
@@ -76,19 +75,20 @@ def _pairs_column(text: str) -> Column:
 def person_pairs(texts: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """``(msg_seq, start, end)`` of pairs that are known names.
 
-    The names table grows with the corpus, so no side is forced to broadcast: Spark
-    decides by the size it measures. Names common in headers are the likely hot keys
-    in texts; they are few by construction and served without a shuffle, and the skew
-    join of adaptive execution splits what else piles up.
+    Names common in headers are the likely hot keys in texts; they are at most
+    HOT_PARTS, so they are broadcast and their pairs never shuffled. All others join by an
+    inner join, for which Spark may drop pairs that are no names before it shuffles them,
+    and whose partitions adaptive execution splits where one pair piles up. The pairs are
+    slim and written once, so that bodies are searched once for both.
     """
-    pairs = (
+    pairs = settle(
         texts.select("msg_seq", F.explode(_pairs_column(text)).alias("p"))
-        .select("msg_seq", "p.*")
-    )
-    known = names.select("name", F.lit(True).alias("known"))
-    row_id = F.concat_ws("/", "msg_seq", "start")
-    found = lookup(pairs, known, "name", "known", row_id, hot_keys(names, "name"))
-    return found.filter("known").select("msg_seq", "start", "end")
+        .select("msg_seq", "p.*"), "pairs")
+    hot = F.broadcast(hot_keys(names, "name"))
+    common = pairs.join(hot, "name", "left_semi")
+    others = pairs.join(hot, "name", "left_anti").join(
+        names.join(hot, "name", "left_anti").select("name"), "name")
+    return common.unionByName(others).select("msg_seq", "start", "end")
 
 
 def person_spans(texts: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:

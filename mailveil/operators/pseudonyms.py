@@ -122,9 +122,12 @@ def rebuild_lists(found: DataFrame) -> DataFrame:
 
 
 def pseudonym_header(mail: DataFrame, mapping: DataFrame, header: str, seen: DataFrame) -> DataFrame:
-    """``(msg_seq, header_masked)``: one header with names kept and addresses swapped."""
+    """``(msg_seq, header_masked)``: a header with names kept and addresses swapped.
+
+    A header that stands on several lines is one list.
+    """
     unfolded = H.unfold(F.col("transport_headers"))
-    addresses = H.parse_addresses(F.slice(H.header_values(unfolded, header), 1, 1))
+    addresses = H.parse_addresses(H.header_values(unfolded, header))
     rows = (
         mail.select("msg_seq", F.posexplode(addresses).alias("pos", "a"))
         .select("msg_seq", F.lit(FIELD_NUMBER[header]).alias("field"), "pos",

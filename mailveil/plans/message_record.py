@@ -20,6 +20,7 @@ from mailveil.functions.synthetic import DEFAULT_SEED, fill_placeholders
 from mailveil.operators.folders import drop_calendar
 from mailveil.operators.people import person_spans
 
+# The fields of a record.
 FIELDS = (
     "MessageId", "EmailReceivedDate", "EmailFrom", "EmailTo", "EmailCC", "OriginalEmailFrom",
     "OriginalEmailTo", "OriginalEmailCC", "Subject", "EmailBody", "SubjectSynthetic",
@@ -34,18 +35,19 @@ class Options:
     replacements: Mapping[str, str] = field(default_factory=lambda: PLACEHOLDERS)
     threshold: float = DEFAULT_THRESHOLD
     seed: int = DEFAULT_SEED
+    max_body: int | None = None
 
 
 @built_once
-def _body_column() -> Column:
+def _body_column(max_body: int | None) -> Column:
     return message_body(F.col("plain_text_body"), F.col("body"), F.col("html_body"),
-                        F.col("transport_headers"))
+                        F.col("transport_headers"), max_body)
 
 
-def with_texts(mail: DataFrame) -> DataFrame:
+def with_texts(mail: DataFrame, max_body: int | None = None) -> DataFrame:
     """``subject_text`` and ``body_text`` from the mail columns, other columns kept."""
     return mail.select("*", F.coalesce("subject", F.lit("")).alias("subject_text"),
-                       _body_column().alias("body_text"))
+                       _body_column(max_body).alias("body_text"))
 
 
 def joined_text() -> Column:
@@ -203,5 +205,5 @@ def message_records(mail: DataFrame, addresses: DataFrame, people: DataFrame | N
     joined = with_people(drop_calendar(mail).join(addresses, "msg_seq", "left"), people)
     if cluster_by is not None:
         joined = joined.repartition(cluster_by)
-    done = with_masks(with_spans(with_texts(joined), options), options)
+    done = with_masks(with_spans(with_texts(joined, options.max_body), options), options)
     return done.select("*", *_header_columns()).select("msg_seq", *keep, *_record_columns())

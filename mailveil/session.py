@@ -49,15 +49,6 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a part of an input that has fewer splits than there are cores.
-
-    A large input has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write a slim table that several steps read, and read it back.
 

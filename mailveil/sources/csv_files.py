@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from mailveil.functions.text import csv_safe
 
-# Output column and the record field it is written from.
+# The output columns, each with the record field it is written from.
 CSV_COLUMNS = {
     "MessageId": "MessageId",
     "EmailReceivedDate": "EmailReceivedDate",
@@ -30,6 +30,7 @@ CSV_COLUMNS = {
     "ReplyDepth": "ReplyDepth",
 }
 UNSANITIZED = ("MessageId", "EmailReceivedDate", "PIICount", "NoOfAttachments", "ReplyDepth")
+NUMBERS = ("PIICount", "NoOfAttachments", "ReplyDepth")
 ORIGINALS = ("OriginalSubject", "OriginalEmailBody")
 
 
@@ -62,15 +63,26 @@ def write_batches(record: DataFrame, path: str, base: str = "mail", drop_origina
      .csv(path))
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+def csv_reader(spark: SparkSession) -> DataFrameReader:
     return (
         spark.read.option("header", True).option("escape", '"')
         .option("nullValue", "\x00").option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .option("inferSchema", infer).csv(path)
     )
 
 
+def read_csv(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+    """Any CSV files with a header; types are text, or inferred by one more pass over them."""
+    return csv_reader(spark).option("inferSchema", infer).csv(path)
+
+
+def read_batches(spark: SparkSession, path: str, drop_originals: bool = False) -> DataFrame:
+    """Written batches, with the types that their columns have whatever they hold."""
+    names = [c for c in CSV_COLUMNS if not (drop_originals and c in ORIGINALS)]
+    kinds = [f"`{c}` {'long' if c in NUMBERS else 'string'}" for c in names]
+    return csv_reader(spark).schema(", ".join([*kinds, "batch string"])).csv(path)
+
+
 def preview(rows: DataFrame, n: int = 100, *order: str) -> DataFrame:
     """First rows by some columns, as files have no order of their own."""
     return rows.orderBy(*(order or ("MessageId",))).limit(n)

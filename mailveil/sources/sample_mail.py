@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from mailveil.operators.people import names_table
 from mailveil.operators.pseudonyms import address_lists, address_union, assign_pseudonyms, first_seen
-from mailveil.session import spread
 from mailveil.sources.mail import MAIL_SCHEMA
 from mailveil.sources.mapping import empty_mapping
 
@@ -125,14 +124,14 @@ def load_mail(spark: SparkSession, folder: str, columns: Iterable[str] | None =
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     texts = [c for c in TEXT_SOURCES if c in wanted]
     rows = documents.select(F.col("doc_id").alias("i"), *(["text"] if texts else []))
-    if texts or "transport_headers" in wanted:
-        rows = spread(rows, "i")
     if "html_body" in wanted:
         pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html")
         count = pages.agg(F.count("*")).scalar()
-        # Only rows that have an HTML body look for a page.
-        page = F.when(F.expr("i % 3 = 2 and i % 27 <> 26"), F.col("i") % count)
-        rows = rows.withColumn("page_id", page).join(pages, "page_id", "left")
+        # Only rows that have an HTML body look for a page; the others are not moved.
+        wants = F.expr("i % 3 = 2 and i % 27 <> 26")
+        paged = rows.filter(wants).withColumn("page_id", F.col("i") % count).join(
+            pages, "page_id", "left").drop("page_id")
+        rows = rows.filter(~wants).withColumn("html", F.lit(None).cast("string")).unionByName(paged)
     rows = (
         rows.withColumn("n", F.expr("lpad(cast((i * 7919 + 12345678) % 100000000 as string), 8, '0')"))
         .withColumn("odd", F.expr("(i div 16) % 2 = 1"))

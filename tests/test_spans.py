@@ -1,7 +1,9 @@
 """Detection and span algebra against plain Python on adversarial texts."""
 
 import random
+import time
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from mailveil.functions.masking import PLACEHOLDERS, mask
 from mailveil.functions.recognizers import PATTERN_RECOGNIZERS, registry
 from mailveil.functions.spans import dedupe, detect, make_span, merge_adjacent, resolve
 from mailveil.functions.synthetic import fill_placeholders
-from mailveil.plans.texts import mask_column, scored_spans
+from mailveil.plans.texts import mask_texts, scored_spans
 from tests import brute
 
 SAMPLES = {
@@ -111,16 +113,36 @@ def test_context_reaches_back_five_tokens_however_far(spark):
 
 def test_many_findings_in_one_text(spark):
     text = " , ".join(f"04{i:02d} 123 456" for i in range(100)) * 30
-    row = spark.createDataFrame([(text,)], "t string").select(
-        F.size(detect(F.col("t"), registry())).alias("n"), mask_column(F.col("t"), registry()).alias("m")).first()
-    assert row["n"] == len(brute.find(text, PATTERN_RECOGNIZERS))
-    assert "0400" not in row["m"]
+    df = spark.createDataFrame([(text,)], "text string")
+    found = df.select(F.size(detect(F.col("text"), registry())).alias("n")).first()
+    assert found["n"] == len(brute.find(text, PATTERN_RECOGNIZERS))
+    assert "0400" not in mask_texts(df, F.lit(1)).first()["masked"]
+
+
+def test_time_grows_with_findings_not_with_their_square(spark):
+    def seconds(n: int) -> float:
+        text = " , ".join(f"user{i}@example.com" for i in range(n))
+        df = spark.createDataFrame([(text,)], "text string")
+        start = time.time()
+        masked = mask_texts(df, F.lit(1)).first()["masked"]
+        assert masked == " , ".join(["<<EMAIL>>"] * n)
+        return time.time() - start
+
+    seconds(500)
+    small, large = min(seconds(8_000) for _ in range(2)), min(seconds(32_000) for _ in range(2))
+    assert large < 6 * small and large < 40
+
+
+@pytest.mark.parametrize("text", ["1" * 100_000, " ".join("5" * 100_000), "-".join("7" * 50_000)])
+def test_long_runs_of_digits(spark, text):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert len(mask_texts(df, F.lit(1)).first()["masked"]) > 0
 
 
 def test_masking_a_single_finding_twice_changes_nothing(spark):
-    df = spark.createDataFrame([(t,) for t, found in SAMPLES.items() if len(found) == 1], "t string")
-    once = df.select(mask_column(F.col("t"), registry()).alias("t"))
-    assert once.select(mask_column(F.col("t"), registry())).collect() == once.collect()
+    df = spark.createDataFrame([(t,) for t, found in SAMPLES.items() if len(found) == 1], "text string")
+    once = mask_texts(df, F.lit(1)).select(F.col("masked").alias("text"))
+    assert mask_texts(once, F.lit(1)).filter("text <> masked").count() == 0
 
 
 def test_synthetic_text_has_no_placeholder_left(spark):
