@@ -21,6 +21,7 @@ EMAIL_PATTERN = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 IP_PATTERN = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 SPACES = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
           r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+IN_LINE = SPACES.replace(r"[\t-\r", r"[\t\x0B-\r")
 # What Java's \s holds; RE2 leaves out the vertical tab.
 ASCII_SPACE = r"[ \t\n\x0B\f\r]"
 
@@ -151,10 +152,9 @@ def visible(text: str) -> str:
 
 
 def fewer_lines(text: str) -> str:
-    space = ASCII_SPACE
-    text = replaced(text, rf"\n{space}*\n{space}*\n+", "chr(10) || chr(10)")
-    text = replaced(text, r"(?m)^[ \t]+|[ \t]+$", "''")
-    return replaced(text, rf"^{space}+|{space}+$", "''")
+    text = replaced(text, rf"\n{SPACES}*\n{SPACES}*\n+", "chr(10) || chr(10)")
+    text = replaced(text, rf"(?m)^{IN_LINE}+|{IN_LINE}+$", "''")
+    return replaced(text, rf"^{SPACES}+|{SPACES}+$", "''")
 
 
 def html_text(html: str) -> str:
@@ -710,8 +710,8 @@ SELECT msg_seq, coalesce(masked_from, '') AS masked_from, coalesce(masked_to, ''
     out["html_to_text"] = f"SELECT page_id, {html_text('html')} AS text FROM pages"
     mixed = "replace(text, ' ', {})".format(" || ".join(f"chr({c})" for c in [*SPACE_LIKE, *INVISIBLE]))
     out["strip_invisible"] = f"SELECT doc_id, {visible('mixed')} AS text FROM (SELECT doc_id, {mixed} AS mixed FROM documents)"
-    spread = (r"replace(replace(text, '. ', '.' || chr(10) || ' ' || chr(10) || chr(9) || chr(10) || ' '), "
-              r"', ', ', ' || chr(10))")
+    spread = (r"replace(replace(text, '. ', '.' || chr(13) || chr(10) || ' ' || chr(160) || chr(10) || chr(9) || "
+              r"chr(13) || chr(10) || ' '), ', ', ', ' || chr(13) || chr(10))")
     out["collapse_newlines"] = f"SELECT doc_id, {fewer_lines('spread')} AS text FROM (SELECT doc_id, {spread} AS spread FROM documents)"
     out["csv_sanitize"] = sql(f"SELECT msg_seq, {SAFE.format('transport_headers')} AS safe FROM mail", MAIL)
 

@@ -697,7 +697,8 @@ def strip_invisible(spark, sf):
 @query
 def collapse_newlines(spark, sf):
     """Documents with more empty lines and spaces at line ends."""
-    spread = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\n \n\t\n ")), F.lit(", "), F.lit(", \n"))
+    spread = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n \u00a0\n\t\r\n ")),
+                       F.lit(", "), F.lit(", \r\n"))
     return documents(spark, sf).select("doc_id", T.collapse_newlines(spread).alias("text"))
 
 

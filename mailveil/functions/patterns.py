@@ -7,11 +7,16 @@ here before they reach Spark. ``\\d`` stays ASCII.
 
 from __future__ import annotations
 
-# The characters Python's ``\s`` accepts, as a Java character class.
+# The characters Python's ``\s`` accepts, as a Java character class and listed.
 SPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+SPACES = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"[\p{L}\p{N}_]"
 BOUNDARY = rf"(?:(?={WORD})(?<!{WORD})|(?!{WORD})(?<={WORD}))"
 # Letters and digits beyond ASCII, for use inside a character class.

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailveil.functions.binding import let
+from mailveil.functions.patterns import SPACE, SPACES
 
 # Characters shown as a space, and characters without any width.
 SPACE_LIKE = "\u00a0\u202f\u2007\u2009"
@@ -34,10 +35,13 @@ def strip_invisible(text: Column) -> Column:
 
 
 def collapse_newlines(text: Column) -> Column:
-    """At most one empty line in a row, no spaces at line ends, none around the text."""
-    fewer = F.regexp_replace(text, r"\n\s*\n\s*\n+", "\n\n")
-    lines = F.transform(F.split(fewer, "\n", -1), lambda line: F.btrim(line, F.lit(" \t")))
-    return F.btrim(F.array_join(lines, "\n"), F.lit(" \t\r\n\f\x0b"))
+    """At most one empty line in a row, no spaces at line ends, none around the text.
+
+    A carriage return before a line break counts as a space at the line's end.
+    """
+    fewer = F.regexp_replace(text, rf"\n{SPACE}*\n{SPACE}*\n+", "\n\n")
+    lines = F.transform(F.split(fewer, "\n", -1), lambda line: F.btrim(line, F.lit(SPACES)))
+    return F.btrim(F.array_join(lines, "\n"), F.lit(SPACES))
 
 
 def csv_safe(text: Column) -> Column:
