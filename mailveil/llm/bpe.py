@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -19,8 +20,10 @@ from pyspark.sql import DataFrame
 from .common import text_blocks, with_columns
 from .merges import Machine
 
+# Bytes of text whose ids are held at a time.
+ENCODED_AT_ONCE = 2 << 20
 # Encoded pieces of text are forgotten and begun anew beyond this number.
-MAX_PIECES = 600_000
+MAX_PIECES = 500_000
 
 
 class Vocabulary:
@@ -101,9 +104,13 @@ class Coder(dict):
             self[piece] = found
         return found
 
+    def line(self, text: str) -> str:
+        """Ids in decimal, a space between. The pattern must cover the text; each match is
+        encoded alone."""
+        return " ".join([self[m] for m in self.pattern.findall(text)])
+
     def encode(self, text: str) -> list[str]:
-        """Ids in decimal. The pattern must cover the text; each match is encoded alone."""
-        return " ".join([self[m] for m in self.pattern.findall(text)]).split()
+        return self.line(text).split()
 
     def decode(self, ids: list[str]) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
@@ -128,20 +135,24 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True,
     """
     new = {"n_tokens": "long"} | ({"ids": "array<int>"} if ids else {}) | (
         {"ids_sha256": "string", "decoded_sha256": "string"} if digests else {})
+    kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()),
+             "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     kept = [c for c in docs.columns if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
-        for batch in text_blocks(batches):
-            rows = [code.encode(t or "") for t in batch.column("text").to_pylist()]
-            made = {"n_tokens": pa.array(map(len, rows), pa.int64())}
-            if ids:
-                made["ids"] = pa.array([list(map(int, r)) for r in rows], pa.list_(pa.int32()))
-            if digests:
-                made["ids_sha256"] = pa.array(
-                    [sha256(" ".join(r).encode()).hexdigest() for r in rows])
-                made["decoded_sha256"] = pa.array(
-                    [sha256(code.decode(r)).hexdigest() for r in rows])
+        for batch in text_blocks(batches, ENCODED_AT_ONCE):
+            made = {name: [] for name in new}
+            for text in batch.column("text"):  # one at a time: ids take more room than text
+                line = code.line(text.as_py() or "")
+                numbers = line.split()
+                made["n_tokens"].append(len(numbers))
+                if ids:
+                    made["ids"].append(np.array(numbers, np.int32))
+                if digests:
+                    made["ids_sha256"].append(sha256(line.encode()).hexdigest())
+                    made["decoded_sha256"].append(sha256(code.decode(numbers)).hexdigest())
+            made = {name: pa.array(values, kinds[name]) for name, values in made.items()}
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + list(made.values()), kept + list(made))
 

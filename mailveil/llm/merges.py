@@ -58,7 +58,7 @@ class Fits(dict):
     ``limit`` of them.
     """
 
-    def __init__(self, ranks: dict[str, int], limit: int = 1 << 19):
+    def __init__(self, ranks: dict[str, int], limit: int = 400_000):
         super().__init__()
         self.ranks, self.limit, self.traces = ranks, limit, Traces(ranks)
 
@@ -113,7 +113,7 @@ class Machine:
     """
 
     def __init__(self, ranks: dict[str, int], counted: bool = True, marked: str | None = None,
-                 limit: int = 200_000):
+                 limit: int = 160_000):
         self.ranks, self.counted, self.marked, self.limit = ranks, counted, marked, limit
         self.fits = Fits(ranks)
         self.open = frozenset(t[:i] for t in ranks for i in range(1, len(t)))

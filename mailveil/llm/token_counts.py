@@ -25,7 +25,7 @@ RUN = 16  # fixed value: the longest token of spaces alone
 
 CHUNK = 8192
 # Counted words are forgotten and begun anew beyond this number.
-MAX_WORDS = 600_000
+MAX_WORDS = 500_000
 
 UNIT = re.compile(" +[^ ]*")
 SYNC = re.compile("[^ ](?= )")
