@@ -262,8 +262,11 @@ def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, lanes: int =
     members = groups.join(roots, F.col("node") == F.col("vertex"), "left").select(
         *names, "first", "n", F.coalesce("root", "node").alias("root"))
     members = settle(members, "members")
-    least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = members.join(least, "root").select(*names, "n", "component_id")
+    least = members.groupBy("root").agg(
+        F.min("first").alias("component_id"), F.count("*").alias("size"))
+    # A component may hold many of the fingerprints, though each is one row here.
+    named = hot_join(members, least, ["root"], "size", members.count()).select(
+        *names, "n", "component_id")
     digits = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in reversed(names)])
     return hot_join(slim, named, names, "n", total).select(
         "doc_id", digits.alias("fingerprint"), "component_id")
