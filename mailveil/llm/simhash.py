@@ -7,7 +7,6 @@ without that bit is a key; two segments that differ by at most one bit share a k
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +18,12 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .common import HOT_PARTS, hot_join, text_blocks
 from .components import connected_components
+from .near_copies import drop_near_copies  # noqa: F401  it was here first
 
 BITS = 64
 ALL_BITS = list(range(BITS))
 SEED = 42
 
-# Copies of a given similarity: lanes and segments per lane of their fingerprints. Texts that
-# share 0.8 of their shingles differ in 15 percent of the bits, and one of 8 segments of 16
-# bits then differs by one bit at most in 93 of 100 pairs; at 0.9 in 99.5.
-COPY_LANES, COPY_PARTS = 2, 4
-
 # Shingles that are hashed and counted at a time, which bounds memory for a long text.
 SHINGLES_AT_ONCE = 1 << 15
 
@@ -267,23 +262,3 @@ def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, lanes: int =
     digits = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in reversed(names)])
     return hot_join(slim, named, names, "n", total).select(
         "doc_id", digits.alias("fingerprint"), "component_id")
-
-
-def bits_apart(similarity: float, lanes: int) -> int:
-    """How many bits texts differ in on average if they share this part of all their
-    shingles: a bit differs as often as the angle between the sets allows."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(BITS * lanes * math.acos(cosine) / math.pi)
-
-
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents that stay, with all columns: of each group the one with the smallest id.
-
-    So many bits may differ as documents of the given similarity differ in on average, in
-    fingerprints of COPY_LANES lanes. Texts without words stay: they are copies of nothing.
-    """
-    groups = near_groups(docs, words, bits_apart(similarity, COPY_LANES), COPY_LANES, COPY_PARTS)
-    dropped = groups.filter(
-        (F.col("doc_id") != F.col("component_id")) & (F.col("fingerprint") != "0" * 16 * COPY_LANES)
-    ).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
