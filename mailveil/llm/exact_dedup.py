@@ -60,6 +60,15 @@ def exact_groups(docs: DataFrame, keep: str = "max", doc_id: str = "doc_id",
     document in several rows: each counts in ``group_size`` and each is marked alike. Other
     columns are not read. An empty table gives no rows.
     """
+    return exact_keys(docs, keep, doc_id, text).select(
+        "doc_id", "keep_id", "group_size", "kept",
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
+def exact_keys(docs: DataFrame, keep: str, doc_id: str = "doc_id",
+               text: str = "text") -> DataFrame:
+    """What ``exact_groups`` tells of each document, with the key of its text."""
     if keep not in ("max", "min"):
         raise ValueError("keep is 'max' or 'min'")
     runs = settle(digest_runs(docs, doc_id, text), "digests")
@@ -69,15 +78,32 @@ def exact_groups(docs: DataFrame, keep: str = "max", doc_id: str = "doc_id",
     groups = settle(merge_runs(runs, order), "digest-groups")
     if keep == "min":
         groups = groups.withColumn("keep_id", F.bitwise_not("keep_id"))
-    return hot_join(runs, groups, KEY, "group_size", total).select(
-        "doc_id", "keep_id", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    return hot_join(runs, groups, KEY, "group_size", total).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    dropped = exact_groups(docs, keep).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    """The documents that stay, with all their columns.
+
+    A row goes by its text and id, so neither a null id nor one that other texts repeat takes
+    other rows along. Rows that repeat id and text are one document and stay together. Of a
+    text that has null ids only, one row stays.
+    """
+    key = [f"_{c}" for c in KEY]
+    body = whole_text()
+    rows = docs.withColumns(dict(zip(key, (
+        F.unhex(F.sha2(body.cast("binary"), 256)), F.octet_length(body).cast("bigint"),
+        F.xxhash64(body)))))
+    groups = settle(exact_keys(docs, keep), "dropped-copies").withColumnsRenamed(
+        dict(zip(KEY, key)))
+    dropped = groups.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id"), *key).distinct()
+    named = rows.filter(F.col("doc_id").isNotNull()).join(dropped, ["doc_id", *key], "left_anti")
+    # Combined before the shuffle, so many null ids of one text do not meet in a task.
+    alone = groups.filter(F.col("kept") & F.col("doc_id").isNull()).select(*key).distinct()
+    unnamed = (
+        rows.filter(F.col("doc_id").isNull()).groupBy(*key)
+        .agg(F.first(F.struct(*docs.columns)).alias("_row"))
+        .join(alone, key, "left_semi").select("_row.*")
+    )
+    return named.select(*docs.columns).unionByName(unnamed)
