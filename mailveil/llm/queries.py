@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode
+from .collocations import collocations
 from .common import table
+from .conversation_repair import damage, repair_report
 from .decontamination import contamination
 from .exact_dedup import exact_groups
 from .language_id import fold, identify, sample_dictionaries
 from .lm_scoring import score_texts
+from .mixing import mix_report
 from .quality import score_quality, train
 from .sharding import SLOT_PARTS, shard_documents
 from .simhash import near_groups
@@ -72,6 +75,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("source"), F.col("lang"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -83,6 +98,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_source_mix": op12_source_mix,
+    "op13_collocations": op13_collocations,
 }
 
 EXACT_SQL = """
