@@ -1,13 +1,14 @@
 """Phrase collocations: counts in a burst trie per task, merged runs, cuts scored exactly.
 
 A phrase counts only if it occurs often, and then so do all its parts. So words are counted
-first, pairs of frequent words next, and phrases of three and four words only where all their
-pairs are frequent. Which words or pairs are frequent reaches the tasks as a bit table of a
-fixed size: a false yes costs a count, a false no cannot happen.
+first, then pairs of frequent words by their hash, then pairs with a frequent hash and phrases
+of three and four words of such pairs by their words. Which hashes are frequent reaches the
+tasks as bit tables of a fixed size: a false yes costs a count, a false no cannot happen.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,11 +53,20 @@ SPLIT = bytes(
     for b in range(256))
 GONE = -1
 FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
+LOW = np.uint64(0xFFFFFFFF)
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """The words of a text, with END after each piece."""
-    return text.translate(SPLIT).replace(END, b" " + END + b" ").split()
+def split_words(texts: list[bytes]) -> pa.DictionaryArray:
+    """The words of some texts, with END after each piece and between two texts."""
+    joined = (b" " + END).join([t.translate(SPLIT) for t in texts]).replace(END, b" " + END + b" ")
+    data = np.frombuffer(joined, np.uint8)
+    letter = data != 0x20
+    edges = np.diff(np.concatenate(([False], letter, [False])).astype(np.int8))
+    lengths = np.flatnonzero(edges == -1) - np.flatnonzero(edges == 1)
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(lengths), [
+        None, pa.py_buffer(offsets), pa.py_buffer(data[letter])])
+    return words.dictionary_encode()
 
 
 def scatter(keys: np.ndarray) -> np.ndarray:
@@ -65,9 +75,13 @@ def scatter(keys: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(29))
 
 
-def word_hash(lang: str, word: bytes) -> int:
+def lang_seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang.encode())
+
+
+def word_hash(seed: int, word: bytes) -> int:
     """What stands for a word of a language in the bit tables, in every task."""
-    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang.encode()))
+    return xxhash.xxh64_intdigest(word, seed)
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -181,12 +195,20 @@ class Words(dict):
 
     def __init__(self, lang: str, shared: "Lexicon"):
         super().__init__({END: GONE})
-        self.lang, self.shared = lang, shared
+        self.lang, self.seed, self.shared = lang, lang_seed(lang), shared
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = self.shared.number(self.lang, word)
-        self.shared.held += 1
-        self.shared.bytes += len(word)
+        shared, code = self.shared, word_hash(self.seed, word)
+        shared.held += 1
+        shared.bytes += len(word)
+        bit = code >> (64 - TABLE_BITS)
+        if shared.bits is not None and not shared.bits[bit >> 3] >> (bit & 7) & 1:
+            self[word] = GONE
+            return GONE
+        self[word] = number = len(shared.words)
+        shared.words.append(word)
+        shared.of_lang.append(self.lang)
+        shared.hashes.append(code)
         return number
 
 
@@ -194,11 +216,11 @@ class Lexicon:
     """Words a task has met, in all languages. ``frequent`` is a bit table or None for all."""
 
     def __init__(self, frequent: np.ndarray | None):
-        self.frequent = frequent
+        self.bits = None if frequent is None else memoryview(frequent.view(np.uint8))
         self.langs: dict[str, Words] = {}
         self.words: list[bytes] = []
         self.of_lang: list[str] = []
-        self.hashes: list[int] = []
+        self.hashes = array("Q")
         self.held = self.bytes = 0
 
     def crowded(self) -> bool:
@@ -206,27 +228,24 @@ class Lexicon:
         if self.held <= WORDS and self.bytes <= WORD_BYTES:
             return False
         self.held = self.bytes = 0
-        for known in self.langs.values():
-            for word in [w for w, number in known.items() if number == GONE and w != END]:
-                del known[word]
-            self.held += len(known)
-            self.bytes += sum(map(len, known))
+        for lang, known in self.langs.items():
+            kept = self.langs[lang] = Words(lang, self)
+            kept.update((w, number) for w, number in known.items() if number != GONE)
+            self.held += len(kept)
+            self.bytes += sum(map(len, kept))
         return self.held > WORDS // 2 or self.bytes > WORD_BYTES // 2
 
-    def number(self, lang: str, word: bytes) -> int:
-        code = word_hash(lang, word)
-        if self.frequent is not None and not has(self.frequent, np.array([code], np.uint64))[0]:
-            return GONE
-        self.words.append(word)
-        self.of_lang.append(lang)
-        self.hashes.append(code)
-        return len(self.words) - 1
-
-    def numbers(self, lang: str, text: bytes) -> list[int]:
+    def numbers(self, lang: str, texts: list[bytes]) -> np.ndarray:
+        """Numbers of all words of some texts, GONE between pieces and after the last."""
         known = self.langs.get(lang)
         if known is None:
             known = self.langs[lang] = Words(lang, self)
-        return [known[w] for w in split_words(text)]
+        words = split_words(texts)
+        of_word = np.array([known[w] for w in words.dictionary.to_pylist()] + [GONE], np.int64)
+        return np.append(of_word[words.indices.to_numpy()], GONE)
+
+    def word_hashes(self) -> np.ndarray:
+        return np.array(self.hashes, np.uint64)
 
 
 def has(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -253,11 +272,10 @@ def bit_table(codes: DataFrame) -> np.ndarray:
 
 def text_numbers(lexicon: Lexicon, batch: pa.RecordBatch) -> np.ndarray:
     """Numbers of all words of a batch, GONE between pieces and texts."""
-    out: list[int] = []
+    by_lang: dict[str, list[bytes]] = {}
     for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-        out += lexicon.numbers(lang, text)
-        out.append(GONE)
-    return np.array(out, np.int64)
+        by_lang.setdefault(lang, []).append(text)
+    return np.concatenate([lexicon.numbers(lang, texts) for lang, texts in by_lang.items()])
 
 
 def joined_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -311,7 +329,7 @@ class WordCounter(Counter):
 
 
 class PairCounter(Counter):
-    """Counts pairs of frequent words."""
+    """Counts pairs of frequent words; they leave as hashes."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__(lexicon, "pairs")
@@ -321,19 +339,23 @@ class PairCounter(Counter):
         self.tries["pairs"].add(*np.unique(
             joined_keys(words[at], words[at + 1]), return_counts=True))
 
-    def phrase(self, kind: str, keys: np.ndarray) -> list[np.ndarray]:
-        return [keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)]
+    def runs(self, spill) -> Iterator[pa.RecordBatch]:
+        hashes = self.lexicon.word_hashes()
+        for keys, counts in spill(self.tries["pairs"]):
+            codes = pair_hash(hashes[keys >> np.uint64(32)], hashes[keys & LOW])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(codes.view(np.int64)), pa.array(counts)], ["code", "f"])
 
 
 class LongCounter(Counter):
-    """Counts phrases of three and four words whose pairs are all frequent.
+    """Counts frequent pairs, and phrases of three and four words whose pairs are all frequent.
 
     Frequent pairs get numbers of their own, so the trie's keys stay two numbers: a pair and
     a word, or two pairs.
     """
 
     def __init__(self, lexicon: Lexicon, frequent: np.ndarray):
-        super().__init__(lexicon, "threes", "fours")
+        super().__init__(lexicon, "pairs", "threes", "fours")
         self.frequent = frequent
         self.pairs, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.by_number = self.pairs
@@ -358,34 +380,36 @@ class LongCounter(Counter):
         return self.numbers[at]
 
     def count(self, words: np.ndarray) -> None:
-        hashes = np.array(self.lexicon.hashes, np.uint64)
-        at = pairs_of(words)
-        pairs, of = np.unique(joined_keys(words[at], words[at + 1]), return_inverse=True)
-        first, second = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
-        often = has(self.frequent, pair_hash(hashes[first], hashes[second]))
+        hashes, at = self.lexicon.word_hashes(), pairs_of(words)
+        pairs, of, counts = np.unique(
+            joined_keys(words[at], words[at + 1]), return_inverse=True, return_counts=True)
+        often = has(self.frequent, pair_hash(hashes[pairs >> np.uint64(32)], hashes[pairs & LOW]))
+        self.tries["pairs"].add(pairs[often], counts[often])
         number = np.full(len(pairs), GONE, np.int64)
         number[often] = self.numbered(pairs[often])
         # The number of the pair that begins at each place.
         pair = np.full(len(words) + 2, GONE, np.int64)
         pair[at] = number[of]
         three = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
-        four = three[pair[three + 2] >= 0] if len(three) else three
+        four = three[pair[three + 2] >= 0]
         self.tries["threes"].add(*np.unique(
             joined_keys(pair[three], words[three + 2]), return_counts=True))
         self.tries["fours"].add(*np.unique(
             joined_keys(pair[four], pair[four + 2]), return_counts=True))
 
     def phrase(self, kind: str, keys: np.ndarray) -> list[np.ndarray]:
-        low, by_number = np.uint64(0xFFFFFFFF), self.by_number
-        first, last = by_number[keys >> np.uint64(32)], keys & low
+        first, last = keys >> np.uint64(32), keys & LOW
+        if kind == "pairs":
+            return [first, last]
+        first = self.by_number[first]
         if kind == "threes":
-            return [first >> np.uint64(32), first & low, last]
-        last = by_number[last]
-        return [first >> np.uint64(32), first & low, last >> np.uint64(32), last & low]
+            return [first >> np.uint64(32), first & LOW, last]
+        last = self.by_number[last]
+        return [first >> np.uint64(32), first & LOW, last >> np.uint64(32), last & LOW]
 
 
-def count_phrases(docs: DataFrame, make) -> DataFrame:
-    """``(lang, phrase, f)``: counts over all documents.
+def count_phrases(docs: DataFrame, make, key: str) -> DataFrame:
+    """``key`` and ``f``: counts over all documents.
 
     Each task counts in tries of bounded size and gives away what exceeds them as runs. Runs
     meet by the hash of the whole phrase: any shorter prefix of a phrase can be so common that
@@ -403,28 +427,16 @@ def count_phrases(docs: DataFrame, make) -> DataFrame:
 
     runs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"),
                        F.coalesce("text", F.lit("")).cast("binary").alias("text")
-                       ).mapInArrow(run, "lang string, phrase string, f long")
-    return runs.repartition("lang", "phrase").groupBy("lang", "phrase").agg(
-        F.sum("f").alias("f"))
-
-
-def pair_codes(pairs: DataFrame) -> DataFrame:
-    """The codes of phrases of two words for the bit table."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = [[word_hash(lang, w) for w in phrase.encode().split(b" ")] for lang, phrase
-                     in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())]
-            first, second = np.array(codes, np.uint64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pair_hash(first, second).view(np.int64))], ["code"])
-
-    return pairs.select("lang", "phrase").mapInArrow(run, "code long")
+                       ).mapInArrow(run, f"{key}, f long")
+    names = [part.split()[0] for part in key.split(", ")]
+    return runs.groupBy(*names).agg(F.sum("f").alias("f"))
 
 
 def word_codes(words: DataFrame) -> DataFrame:
+    """The codes of words for the bit table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [word_hash(lang, word.encode()) for lang, word in zip(
+            codes = [word_hash(lang_seed(lang), word.encode()) for lang, word in zip(
                 batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(codes, np.uint64).view(np.int64))], ["code"])
@@ -436,17 +448,16 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame,
     """``(lang, phrase, f)`` of all phrases of one to LONGEST words with ``f >= least``, and
     ``(lang, n)``, the words of each language; both are written tables."""
     context = docs.sparkSession.sparkContext
-    words = settle(count_phrases(docs, lambda: WordCounter(Lexicon(None))), "word-counts")
+    often, phrase = F.col("f") >= least, "lang string, phrase string"
+    words = settle(count_phrases(docs, lambda: WordCounter(Lexicon(None)), phrase), "word-counts")
     totals = settle(words.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
-    often = F.col("f") >= least
     known = context.broadcast(bit_table(word_codes(words.filter(often))))
-    pairs = settle(count_phrases(docs, lambda: PairCounter(Lexicon(known.value)))
-                   .filter(often), "pair-counts")
-    common = context.broadcast(bit_table(pair_codes(pairs)))
+    codes = count_phrases(docs, lambda: PairCounter(Lexicon(known.value)), "code long")
+    common = context.broadcast(bit_table(settle(codes.filter(often), "pair-codes")))
     longer = settle(
-        count_phrases(docs, lambda: LongCounter(Lexicon(known.value), common.value))
-        .filter(often), "long-counts")
-    return words.filter(often).unionByName(pairs).unionByName(longer), totals
+        count_phrases(docs, lambda: LongCounter(Lexicon(known.value), common.value), phrase)
+        .filter(often), "phrase-counts")
+    return words.filter(often).unionByName(longer), totals
 
 
 def scored(counts: DataFrame) -> DataFrame:
