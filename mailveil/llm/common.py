@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType, VariantType
 
 # A group is hot if it holds more than one part in this many of all rows. At most this many
 # groups can, which bounds what hot_join broadcasts.
@@ -47,6 +47,33 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str,
     return met.unionByName(rest.join(cold, keys))
 
 
+def row_key(docs: DataFrame) -> list[Column]:
+    """What tells the rows of a table of documents apart beside their id: a digest of the text."""
+    return [F.unhex(F.sha2(whole_text().cast("binary"), 256)).alias("digest")]
+
+
+def one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``kept(doc_id, digest, rows)`` names, one for each.
+
+    ``rows`` says how many rows repeat the id and text. Where that is more than one, a row
+    with the smallest hash of its columns stands for all; each task sends one row of those.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"),
+                        *[c.alias(f"_{i}") for i, c in enumerate(row_key(docs))])
+
+    def named(part: DataFrame) -> DataFrame:
+        slim = part.select(F.col("doc_id").alias("id"), "digest")
+        return keyed.join(slim, keyed["_id"].eqNullSafe(slim["id"])
+                          & (keyed["_0"] == slim["digest"]), "left_semi")
+
+    alone = named(kept.filter("rows = 1"))
+    order = F.xxhash64(*[F.col(f"_row.`{f.name}`") for f in docs.schema.fields
+                         if not isinstance(f.dataType, (MapType, VariantType))])
+    repeated = named(kept.filter("rows > 1")).groupBy("_id", "_0").agg(
+        F.min_by("_row", order).alias("_row"))
+    return alone.select("_row.*").unionByName(repeated.select("_row.*"))
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES,
                 text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of one have about ``limit`` bytes; one longer

@@ -197,15 +197,15 @@ class Repair:
             yield self.write(), text
 
 
+def filled(name: str) -> Column:
+    """A column with one space for null, in hashed keys as in fields."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+
 def damage(rows: DataFrame) -> DataFrame:
     """The planted faults: ``conv_id, turn, role, text, times``, where ``times`` is how often
     the row stands in the damaged conversation: 0, 1 or 2.
-
-    Nulls are one space, in the hashed key as in the fields.
     """
-    def filled(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
-
     kind = F.pmod(F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn"))), F.lit(20))
     return rows.select("conv_id", "turn", filled("role").alias("role"),
                        filled("text").alias("text"), kind.alias("_kind")).select(
@@ -298,10 +298,11 @@ def conversation_blocks(rows: DataFrame) -> DataFrame:
     ``rows`` has ``conv_id, turn, role, text, times``. Ranges of (conversation, turn) make the
     partitions, so a conversation with most of the rows lies in many, and so do equal rows.
     """
+    rows = rows.withColumns({"role": filled("role"), "text": filled("text")})
     blank = ~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
     cut_off = ~F.rlike("text", F.lit(r"[.!?][\x20\x09-\x0D]*+\z"))
     keyed = rows.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("conv"),
+        filled("conv_id").alias("conv"),
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", "times",
         F.when(blank, "b").when(cut_off, "t").otherwise(".").alias("fault"),
         F.unhex(F.sha2(F.concat_ws("\0", "role", "text").cast("binary"), 256)).alias("digest"),

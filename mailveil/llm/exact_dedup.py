@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import hot_join, whole_text
+from .common import hot_join, one_of_each, whole_text
 
 # In each round a run is merged with up to this many others, a power of two: as many binomial
 # exchanges in one step.
@@ -83,27 +83,13 @@ def exact_keys(docs: DataFrame, keep: str, doc_id: str = "doc_id",
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The documents that stay, with all their columns.
+    """The documents that stay, one row for each text, with all their columns.
 
     A row goes by its text and id, so neither a null id nor one that other texts repeat takes
-    other rows along. Rows that repeat id and text are one document and stay together. Of a
-    text that has null ids only, one row stays.
+    other rows along. Of rows that repeat id and text one stays, and of a text that has null
+    ids only.
     """
-    key = [f"_{c}" for c in KEY]
-    body = whole_text()
-    rows = docs.withColumns(dict(zip(key, (
-        F.unhex(F.sha2(body.cast("binary"), 256)), F.octet_length(body).cast("bigint"),
-        F.xxhash64(body)))))
-    groups = settle(exact_keys(docs, keep), "dropped-copies").withColumnsRenamed(
-        dict(zip(KEY, key)))
-    dropped = groups.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id"), *key).distinct()
-    named = rows.filter(F.col("doc_id").isNotNull()).join(dropped, ["doc_id", *key], "left_anti")
-    # Combined before the shuffle, so many null ids of one text do not meet in a task.
-    alone = groups.filter(F.col("kept") & F.col("doc_id").isNull()).select(*key).distinct()
-    unnamed = (
-        rows.filter(F.col("doc_id").isNull()).groupBy(*key)
-        .agg(F.first(F.struct(*docs.columns)).alias("_row"))
-        .join(alone, key, "left_semi").select("_row.*")
-    )
-    return named.select(*docs.columns).unionByName(unnamed)
+    groups = settle(exact_keys(docs, keep), "exact-copies")
+    # Rows that repeat the id that stays are marked alike; a row per text tells how many.
+    kept = groups.filter("kept").groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
+    return one_of_each(docs, settle(kept, "kept"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,13 +17,17 @@ from .common import text_blocks, with_columns
 
 UNKNOWN = "und"
 
-# The bounded sample that the dictionaries are cut from: so many labelled documents per
-# language, those with the smallest hashed ids, and so many bytes of each and of all.
+# The bounded sample that the dictionaries are cut from. Of each language the labelled
+# documents with the smallest hashed ids give a stretch of so many characters, from a hashed
+# place anywhere in the text. All stretches share the bytes of a dictionary: each has an equal
+# part, and what short ones leave goes to the others.
 SAMPLE_DOCUMENTS = 256
-DOCUMENT_BYTES = 2048
+STRETCH = 2048
 DICTIONARY_BYTES = 96 << 10
-# More languages than this are not meant to be told apart; bounds what reaches the driver.
-MAX_LANGUAGES = 1000
+# The languages with most documents are told apart, so many at most, of equally frequent ones
+# the first by name; others teach nothing and are never predicted. Bounds what reaches the
+# driver: LANGUAGES * SAMPLE_DOCUMENTS * STRETCH characters.
+LANGUAGES = 1000
 
 # Compression level, and the one for a second look at texts whose margin is narrow; matches
 # of few bytes count, since words are short.
@@ -41,7 +46,12 @@ MIN_MARGIN = 0.002
 # Probability that a saved byte stands for, as a base: each makes the language so much likelier.
 BYTE_ODDS = 1.5
 
-NO_LETTERS = re.compile(r"[\W\d_]+")
+# Characters that \w takes beside letters, digits and the underscore, such as superscripts,
+# fractions and Roman numerals.
+NUMBER_LIKE = "".join(
+    c for c in map(chr, range(sys.maxunicode + 1))
+    if c.isalnum() and not c.isalpha() and not c.isdecimal())
+NO_LETTERS = re.compile(rf"[\W\d_{NUMBER_LIKE}]+")
 
 
 def plain(text: str | None) -> bytes:
@@ -52,26 +62,45 @@ def plain(text: str | None) -> bytes:
 def sample_dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
     """A raw dictionary per language, the language with most documents first.
 
-    ``labelled`` has doc_id, text, lang; rows without text or language teach nothing.
+    ``labelled`` has doc_id, text, lang; rows without id, text or language teach nothing. Ids
+    are chosen, not rows: of rows that repeat an id one stretch counts, the smallest.
     """
-    known = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    known = labelled.filter(
+        F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(
-        F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        F.desc("n"), "lang").limit(LANGUAGES)
+    names = [row.lang for row in counts.collect()]
     order = Window.partitionBy("lang").orderBy("turn", "doc_id")
     chosen = (
-        known.select("lang", "doc_id", F.xxhash64("doc_id").alias("turn"))
+        known.filter(F.col("lang").isin(names)).select("lang", "doc_id").distinct()
+        .withColumn("turn", F.xxhash64("doc_id"))
         .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= SAMPLE_DOCUMENTS).select("doc_id", "place")
+        .filter(F.col("place") <= SAMPLE_DOCUMENTS).select("lang", "doc_id", "place")
     )
-    # At most SAMPLE_DOCUMENTS ids per language.
-    texts = known.join(F.broadcast(chosen), "doc_id").select(
-        "lang", "place", F.substring("text", 1, DOCUMENT_BYTES).alias("text")).collect()
-    parts: dict[str, list[tuple[int, bytes]]] = {}
+    spare = F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), spare).cast("int") + 1
+    # At most SAMPLE_DOCUMENTS ids per language, and after the minimum one row for each.
+    texts = (
+        known.join(F.broadcast(chosen), ["lang", "doc_id"])
+        .select("lang", "place", F.substr("text", start, F.lit(STRETCH)).alias("text"))
+        .groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
+    )
+    parts: dict[str, list[tuple[int, bytes]]] = {name: [] for name in names}
     for row in texts:
-        parts.setdefault(row.lang, []).append((row.place, plain(row.text)))
-    return build_dictionaries({c.lang: [t for _, t in sorted(parts[c.lang]) if t] for c in counts})
+        parts[row.lang].append((row.place, plain(row.text)))
+    return build_dictionaries({n: [t for _, t in sorted(held) if t] for n, held in parts.items()})
+
+
+def shared_out(texts: list[bytes], size: int) -> list[bytes]:
+    """The beginnings of the texts that fit into ``size`` together, with one byte between two.
+
+    Each may have an equal part; what a shorter text leaves goes to the longer ones.
+    """
+    out, left = [], size
+    for k, text in enumerate(sorted(texts, key=len)):
+        out.append(text[:max(0, left // (len(texts) - k) - 1)])
+        left -= len(out[-1]) + 1
+    return out
 
 
 def build_dictionaries(sample: dict[str, list[bytes]]) -> list[tuple[str, bytes]]:
@@ -81,7 +110,7 @@ def build_dictionaries(sample: dict[str, list[bytes]]) -> list[tuple[str, bytes]
     put into another language are left out, unless that would leave none.
     """
     def joined(texts: list[bytes]) -> bytes:
-        return b" ".join(texts)[:DICTIONARY_BYTES]
+        return b" ".join(shared_out(texts, DICTIONARY_BYTES))
 
     halves = [{n: texts[k::2] for n, texts in sample.items()} for k in (0, 1)]
     judges = [Classifier([(n, joined(t)) for n, t in h.items() if t]) for h in halves]
@@ -142,7 +171,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], kept: list[
              min_margin: float = MIN_MARGIN) -> DataFrame:
     """The ``kept`` columns of the documents with lang_pred, score, margin and rejected.
 
-    Only the text is looked at. Without letters, as in a null or empty text, the language is
+    Only the text is looked at. Without letters (Unicode category L), as in a null or empty text, the language is
     ``und`` and the row is rejected; if no language was learned, all are. Otherwise a row is
     rejected if the best language saves less than ``min_margin`` of the second best's size;
     among equal sizes the language with more training documents is named. Rows are neither
@@ -191,5 +220,5 @@ def drop_unidentified(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFr
 
 
 def fold(parts: int) -> Column:
-    """The fold of a document, from its id alone."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+    """The fold of a document, from its id alone; a null id counts as the empty one."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(parts))

@@ -15,6 +15,7 @@ from .exact_dedup import exact_groups
 from .language_id import fold, identify, sample_dictionaries
 from .lm_scoring import score_texts
 from .mixing import mix_report
+from .oracles import MIX_SQL, PHRASE_SQL, REPAIR_SQL
 from .quality import score_quality, train
 from .sharding import SLOT_PARTS, shard_documents
 from .simhash import near_groups
@@ -181,4 +182,7 @@ ORACLES = {
     "op2_exact_dedup": EXACT_SQL,
     "op3_decontamination": WINDOW_SQL,
     "op8_sharding": SHARD_SQL,
+    "op11_conversation_repair": REPAIR_SQL,
+    "op12_source_mix": MIX_SQL,
+    "op13_collocations": PHRASE_SQL,
 }

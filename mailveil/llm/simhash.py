@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import HOT_PARTS, hot_join, text_blocks
+from .common import HOT_PARTS, hot_join, one_of_each, row_key, text_blocks, with_columns
 from .components import connected_components
-from .near_copies import drop_near_copies  # noqa: F401  it was here first
 
 BITS = 64
 ALL_BITS = list(range(BITS))
@@ -34,45 +33,40 @@ HOT_KEY = 50_000
 SMALL_KEY = 24
 
 
-def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
-    """The fingerprint of the word shingles of a text, repeats included, as signed numbers of
+def fingerprint(text: str | None, words: int) -> int:
+    """The fingerprint of the word shingles of a text, repeats included, as a signed number of
     64 bits; zero if it has no words, of the whole sequence if it has fewer than a shingle
-    takes. Each lane hashes with a seed of its own."""
+    takes."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return [0] * lanes
+        return 0
     joined, n = b" ".join(parts), max(1, len(parts) - words + 1)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = (ends[words - 1:] if len(parts) >= words else ends[-1:]).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros((lanes, BITS), np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for i in range(0, n, SHINGLES_AT_ONCE):
-        shingles = [joined[a:b] for a, b in zip(
-            starts[i:i + SHINGLES_AT_ONCE], stops[i:i + SHINGLES_AT_ONCE])]
-        for lane in range(lanes):
-            hashes = np.array([digest(s, SEED + lane) for s in shingles], np.uint64)
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[lane] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+        shingles = [joined[a:z] for a, z in zip(starts[i:i + SHINGLES_AT_ONCE],
+                                                stops[i:i + SHINGLES_AT_ONCE])]
+        hashes = np.array([digest(s, SEED) for s in shingles], "<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    packed = np.packbits((ones * 2 > n).astype(np.uint8), bitorder="little")
+    return int(packed.view("<i8")[0])
 
 
-def lane_names(lanes: int) -> list[str]:
-    return [f"f{k}" for k in range(lanes)]
-
-
-def fingerprints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
-    """``(doc_id, f0, ...)``: the fingerprint of each document."""
-    names = lane_names(lanes)
+def fingerprints(docs: DataFrame, words: int, *more: Column) -> DataFrame:
+    """``(doc_id, print)``, and ``more`` columns as they are: the fingerprint of each document."""
+    rows = docs.select(F.col("doc_id").cast("long"), *more, "text")
+    kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
-            found = np.array([fingerprint(t, words, lanes) for t in
-                              batch.column("text").to_pylist()], np.int64).reshape(-1, lanes)
+            found = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *map(pa.array, found.T)], ["doc_id", *names])
+                [*map(batch.column, kept), pa.array(found, pa.int64())], [*kept, "print"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, ", ".join(f"{c} long" for c in ["doc_id", *names]))
+    return rows.mapInArrow(run, with_columns(rows.select(kept), "print long"))
 
 
 def cut(bits: list[int], parts: int) -> list[list[int]]:
@@ -86,50 +80,46 @@ def mask(bits: list[int]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def variants(lane: int, value: Column, segments: list[list[int]]) -> Column:
-    """A key per bit: the number of the bit and its segment of the lane without it."""
+def variants(value: Column, segments: list[list[int]]) -> Column:
+    """A key per bit: the number of the bit and its segment without it."""
     masks = F.array(*[
-        F.struct(F.lit(BITS * lane + bit).cast("short").alias("bit"),
+        F.struct(F.lit(bit).cast("short").alias("bit"),
                  F.lit(mask([b for b in segment if b != bit])).cast("long").alias("mask"))
         for segment in segments for bit in segment])
     return F.transform(masks, lambda m: F.struct(
         m["bit"].alias("bit"), value.bitwiseAND(m["mask"]).alias("rest")))
 
 
-def hot_keys(fps: DataFrame, total: int, lanes: int, parts: int) -> DataFrame:
+def hot_keys(prints: DataFrame, total: int, parts: int) -> DataFrame:
     """Keys ``(bit, rest)`` that a segment value with many fingerprints falls into.
 
     At most HOT_PARTS values per segment pass, so the table is bounded by their variants.
     """
-    places = [(k, segment) for k in range(lanes) for segment in cut(ALL_BITS, parts)]
+    segments = cut(ALL_BITS, parts)
     values = F.array(*[
         F.struct(F.lit(i).alias("place"),
-                 F.col(f"f{k}").bitwiseAND(F.lit(mask(segment)).cast("long")).alias("value"))
-        for i, (k, segment) in enumerate(places)])
+                 F.col("print").bitwiseAND(F.lit(mask(segment)).cast("long")).alias("value"))
+        for i, segment in enumerate(segments)])
     hot = (
-        fps.select(F.explode(values).alias("v")).groupBy("v.place", "v.value")
+        prints.select(F.explode(values).alias("v")).groupBy("v.place", "v.value")
         .agg(F.count("*").alias("n"))
         .filter((F.col("n") > HOT_KEY) & (F.col("n") * F.lit(HOT_PARTS) > F.lit(total)))
     )
     keys = None
-    for i, (k, segment) in enumerate(places):
-        here = F.col("place") == i
-        found = variants(k, F.col("value"), [segment])
+    for i, segment in enumerate(segments):
+        here, found = F.col("place") == i, variants(F.col("value"), [segment])
         keys = F.when(here, found) if keys is None else keys.when(here, found)
     return hot.select(F.explode(keys).alias("k")).select("k.bit", "k.rest").distinct()
 
 
-def second_keys(lanes: int, parts: int) -> Column:
+def second_keys(parts: int) -> Column:
     """For a row of a hot key: variants of the bits outside its segment."""
     out = None
-    for k in range(lanes):
-        others = [variants(m, F.col(f"f{m}"), cut(ALL_BITS, parts))
-                  for m in range(lanes) if m != k]
-        for segment in cut(ALL_BITS, parts):
-            rest = cut([b for b in ALL_BITS if b not in segment], parts)
-            keys = F.concat(variants(k, F.col(f"f{k}"), rest), *others)
-            here = F.col("bit").between(BITS * k + segment[0], BITS * k + segment[-1])
-            out = F.when(here, keys) if out is None else out.when(here, keys)
+    for segment in cut(ALL_BITS, parts):
+        rest = cut([b for b in ALL_BITS if b not in segment], parts)
+        keys = variants(F.col("print"), rest)
+        here = F.col("bit").between(segment[0], segment[-1])
+        out = F.when(here, keys) if out is None else out.when(here, keys)
     return out
 
 
@@ -175,35 +165,38 @@ def block_links(group: np.ndarray, values: np.ndarray, distance: int):
     return [np.concatenate(side) for side in zip(*links)]
 
 
-def verified_links(keyed: DataFrame, distance: int, lanes: int) -> DataFrame:
+def verified_links(keyed: DataFrame, distance: int) -> DataFrame:
     """Compare the fingerprints that share a key; rows of a key stand together."""
-    key, names = ["bit", "rest", "bit2", "rest2"], lane_names(lanes)
+    key = ["bit", "rest", "bit2", "rest2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, len(key) + 1 + lanes), np.int64)
+        held: list[np.ndarray] = []
 
         def emit(rows):
             keys = rows[:, :len(key)]
             group = np.cumsum(np.concatenate(([0], (keys[1:] != keys[:-1]).any(axis=1))))
-            values = np.ascontiguousarray(rows[:, len(key) + 1:]).view(np.uint64)
+            values = np.ascontiguousarray(rows[:, len(key):]).view(np.uint64)
             a, b = block_links(group, values, distance)
             if len(a):
-                nodes = rows[:, len(key)]
-                pairs = np.unique(np.stack((nodes[a], nodes[b])), axis=1)
+                prints = rows[:, len(key)]
+                pairs = np.unique(np.stack((prints[a], prints[b])), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], ["a", "b"])
 
         for batch in batches:
             rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
-                             for c in [*key, "node", *names]], axis=1)
-            rows = np.concatenate((held, rows))
-            # The last key may go on in the next batch.
+                             for c in [*key, "print"]], axis=1)
+            # The last key may go on in the next batch, and the first go on from the last.
             last = np.flatnonzero((rows[:, :len(key)] != rows[-1, :len(key)]).any(axis=1))
             end = last[-1] + 1 if len(last) else 0
-            if end:
+            if held and (end or (held[-1][-1, :len(key)] != rows[0, :len(key)]).any()):
+                yield from emit(np.concatenate((*held, rows[:end])))
+                held, rows = [], rows[end:]
+            elif end:
                 yield from emit(rows[:end])
-            held = rows[end:]
-        if len(held):
-            yield from emit(held)
+                rows = rows[end:]
+            held.append(rows)
+        if held:
+            yield from emit(np.concatenate(held))
 
     return (
         keyed.repartition(*key).sortWithinPartitions(*key)
@@ -211,54 +204,68 @@ def verified_links(keyed: DataFrame, distance: int, lanes: int) -> DataFrame:
     )
 
 
-def links(fps: DataFrame, total: int, distance: int, lanes: int, parts: int) -> DataFrame:
-    """Links ``(a, b)`` among the nodes of distinct fingerprints that connect what is linked."""
-    names = lane_names(lanes)
-    first = F.concat(*[variants(k, F.col(f"f{k}"), cut(ALL_BITS, parts)) for k in range(lanes)])
+def links(prints: DataFrame, total: int, distance: int) -> DataFrame:
+    """Links ``(a, b)`` among distinct fingerprints that connect what is linked."""
+    # So many segments that no link can differ by two bits in each.
+    parts = distance // 2 + 1
     none = F.array(F.struct(F.lit(-1).cast("short").alias("bit"),
                             F.lit(0).cast("long").alias("rest")))
-    hot = hot_keys(fps, total, lanes, parts).withColumn("hot", F.lit(True))
+    hot = hot_keys(prints, total, parts).withColumn("hot", F.lit(True))
     keyed = (
-        fps.select("node", *names, F.explode(first).alias("k"))
-        .select("node", *names, "k.bit", "k.rest")
+        prints.select("print", F.explode(variants(F.col("print"), cut(ALL_BITS, parts))).alias("k"))
+        .select("print", "k.bit", "k.rest")
         .join(F.broadcast(hot), ["bit", "rest"], "left")
-        .select("node", *names, "bit", "rest", F.explode(
-            F.when(F.col("hot"), second_keys(lanes, parts)).otherwise(none)).alias("k2"))
-        .select("node", *names, "bit", "rest",
+        .select("print", "bit", "rest", F.explode(
+            F.when(F.col("hot"), second_keys(parts)).otherwise(none)).alias("k2"))
+        .select("print", "bit", "rest",
                 F.col("k2.bit").alias("bit2"), F.col("k2.rest").alias("rest2"))
     )
-    return verified_links(keyed, distance, lanes)
+    return verified_links(keyed, distance)
+
+
+def rooted_prints(slim: DataFrame, total: int, distance: int) -> DataFrame:
+    """``(print, root, first, n)``: the component of each distinct fingerprint of ``slim(doc_id,
+    print)``, its smallest id and its number of rows, as a written table."""
+    groups = settle(
+        slim.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")),
+        "distinct-fingerprints")
+    roots = connected_components(links(groups, total, distance))
+    members = groups.join(roots, F.col("print") == F.col("vertex"), "left").select(
+        "print", F.coalesce("root", "print").alias("root"), "first", "n")
+    return settle(members, "members")
 
 
-def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, lanes: int = 1,
-                parts: int | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (hexadecimal), component_id.
 
     Documents whose fingerprints differ in at most ``distance`` bits are linked; the
-    component id is the smallest id that links reach. Each lane of 64 bits is cut into
-    ``parts`` segments, by default so many that no link can be missed; with fewer, links of
-    more than ``2 * parts * lanes - 1`` bits are found if some segment happens to differ in
-    one bit at most.
+    component id is the smallest id that links reach.
 
     Null, empty and blank texts have the fingerprint zero and are linked like any other.
     Equal fingerprints are one in the search, so copies cost nothing there; repeated rows
     each give a row. A null id is no candidate for a component id unless its component has no
     other. Other columns are not read.
     """
-    names, parts = lane_names(lanes), parts or distance // (2 * lanes) + 1
-    slim = settle(fingerprints(docs, words, lanes), "fingerprints")
-    # With more lanes a hash stands for the fingerprint where links are followed.
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
-    groups = settle(
-        slim.groupBy(*names).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-        .withColumn("node", node), "distinct-fingerprints")
+    slim = settle(fingerprints(docs, words), "fingerprints")
     total = slim.count()
-    roots = connected_components(links(groups, total, distance, lanes, parts))
-    members = groups.join(roots, F.col("node") == F.col("vertex"), "left").select(
-        *names, "first", "n", F.coalesce("root", "node").alias("root"))
-    members = settle(members, "members")
+    members = rooted_prints(slim, total, distance)
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = members.join(least, "root").select(*names, "n", "component_id")
-    digits = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in reversed(names)])
-    return hot_join(slim, named, names, "n", total).select(
-        "doc_id", digits.alias("fingerprint"), "component_id")
+    named = members.join(least, "root").select("print", "n", "component_id")
+    return hot_join(slim, named, ["print"], "n", total).select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+    """One document of each group that ``near_groups`` finds, with all its columns.
+
+    The smallest id stays; of several texts with that id the one with the smallest digest, and
+    of rows that repeat both a single one. A null id stays only where the group has no other.
+    """
+    slim = settle(fingerprints(docs, words, *row_key(docs)), "fingerprints")
+    members = rooted_prints(slim, slim.count(), distance)
+    # A row per fingerprint meets the components, whatever the number of copies.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "rows"))
+    rows = slim.groupBy("print", "doc_id", "digest").agg(F.count("*").alias("rows"))
+    firsts = rows.groupBy("print").agg(best.alias("best"))
+    kept = members.join(firsts, "print").groupBy("root").agg(F.min("best").alias("best"))
+    return one_of_each(docs, settle(kept.select("best.doc_id", "best.digest", "best.rows"), "kept"))

@@ -16,4 +16,4 @@ def test_null_and_repeated_ids(docs_of, keep, last):
     assert kept.columns == docs.columns
     assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter(
         [(last, "a"), (None, "b"), (None, "c"), (5 - last, "d"), (None, ""), (7, "e"), (7, "f"),
-         (8, "g"), (8, "g")])
+         (8, "g")])
