@@ -14,7 +14,7 @@ from mailveil.llm.common import table
 from mailveil.llm.decontamination import drop_contaminated
 from mailveil.llm.exact_dedup import drop_exact_copies
 from mailveil.llm.language_id import drop_unidentified
-from mailveil.llm.near_copies import drop_near_copies
+from mailveil.llm.simhash import drop_near_copies
 from mailveil.session import settle
 
 # Compression, fingerprints and merges cannot be said in SQL.
@@ -32,8 +32,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 of their shingles of five words, the smallest id stays."""
-    return drop_near_copies(docs, words=5, similarity=0.8)
+    """Of documents that links of at most 4 bits of their fingerprints join, the smallest id
+    stays."""
+    return drop_near_copies(docs, words=4, distance=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
