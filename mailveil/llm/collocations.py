@@ -24,6 +24,9 @@ from .common import text_blocks
 LONGEST = 4
 LEAST_COUNT = 30
 BEST = 2000
+# The best of a language are chosen among the best of so many hashed parts of its phrases, which
+# bounds what meets in one task to RANK_PARTS * BEST rows.
+RANK_PARTS = 16
 # A candidate inside a longer one that has this share of its count, in percent, goes.
 COVERED = 80
 SCORE_UNIT = 2_000_000
@@ -519,9 +522,13 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, best: int = BEST,
         .filter(F.col("most").isNull() | (
             F.col("most").cast("decimal(25,0)") * F.lit(100)
             < F.col("a").cast("decimal(25,0)") * F.lit(share))))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    within = Window.partitionBy("lang", "_part").orderBy(*order)
     return (
-        kept.withColumn("rank", F.row_number().over(order).cast("long"))
+        kept.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+        .withColumn("_place", F.row_number().over(within)).filter(F.col("_place") <= best)
+        .withColumn("rank", F.row_number().over(
+            Window.partitionBy("lang").orderBy(*order)).cast("long"))
         .filter(F.col("rank") <= best)
         .join(totals, "lang")
         .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
