@@ -7,6 +7,7 @@ by self-joins, neighbours are found as islands, and headers are split into lines
 from __future__ import annotations
 
 from collections.abc import Iterable
+from html.entities import html5, name2codepoint
 
 from catalog import queries as Q
 from mailveil.functions.checksums import ABN_WEIGHTS, MEDICARE_WEIGHTS, TFN_WEIGHTS
@@ -157,18 +158,32 @@ def fewer_lines(text: str) -> str:
     return replaced(text, rf"^{SPACES}+|{SPACES}+$", "''")
 
 
+# Names of HTML 4, and of those the ones that count without a semicolon too.
+NAMED = {f"&{n}": t for n, t in html5.items() if n.rstrip(";") in name2codepoint}
+
+
+def decoded(text: str) -> str:
+    """References as characters: the text is cut at them, and each second piece is one."""
+    cut = replaced(text, r"&(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)",
+                   r"chr(1) || '\0' || chr(1)")
+    table = "MAP {" + ", ".join(f"{q(n)}: {q(t)}" for n, t in NAMED.items()) + "}"
+    digits = r"regexp_extract(p, '[0-9A-Fa-f]+')"
+    return (f"array_to_string(list_transform(string_split({cut}, chr(1)), lambda p, i: "
+            f"CASE WHEN i % 2 = 1 THEN p WHEN p ILIKE '&#x%' THEN chr(('0x' || {digits})::INT) "
+            f"WHEN p LIKE '&#%' THEN chr({digits}::INT) ELSE coalesce({table}[p], p) END), '')")
+
+
 def html_text(html: str) -> str:
-    text = replaced(html, r"(?s)<!--.*?-->", "''")
-    for tag in ("script", "style", "head"):
-        text = replaced(text, rf"(?is)<{tag}\b.*?</{tag}{ASCII_SPACE}*>", "''")
-    text = replaced(text, r"(?i)<li\b[^>]*>", "chr(10) || '* '")
-    text = replaced(text, r"(?i)<br\b[^>]*>", "chr(10)")
-    text = replaced(text, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>", "chr(10)")
-    text = replaced(text, rf"(?i)</t[dh]{ASCII_SPACE}*>", "' '")
-    text = replaced(text, r"</?[A-Za-z!?][^>]*>", "''")
-    for name, character in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"),
-                            ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
-        text = f"replace({text}, '{name}', {character})"
+    """Without preformatted text, of which the given pages have none."""
+    text = replaced(html, r"(?is)<!--.*?(-->|\z)|<script\b.*?(</script\s*>|\z)|<style\b.*?(</style\s*>|\z)", "''")
+    text = replaced(text, r"(?is)<head[\s>].*?(?:</head\s*>|(<body\b[^>]*>)|\z)", r"'\1'")
+    text = replaced(text, r"(?i)<li\b[^>]*>", "chr(3)")
+    text = replaced(text, r"(?i)<br\b[^>]*>", "chr(4)")
+    text = replaced(text, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^>]*)?>", "chr(4)")
+    text = replaced(text, rf"(?i)</t[dh]{ASCII_SPACE}*>", "chr(5)")
+    text = replaced(text, r"""</?[A-Za-z!?](?:[^>"']|"[^"]*"|'[^']*')*>""", "''")
+    text = replaced(decoded(text), r"[ \t\n\f\r]+", "' '")
+    text = f"replace(replace(replace({text}, chr(4), chr(10)), chr(3), chr(10) || '* '), chr(5), ' ')"
     return fewer_lines(visible(text))
 
 
@@ -525,7 +540,11 @@ def build() -> dict[str, str]:
     # Sources and sinks
     out["mail_scan"] = sql(
         "SELECT * REPLACE (number_of_attachments::BIGINT AS number_of_attachments) FROM mail", MAIL)
-    out["folder_list"] = sql("SELECT folder FROM mail GROUP BY folder", MAIL)
+    out["folder_list"] = sql(r"""
+SELECT array_to_string(parts[1:n], '\') AS folder, count(*) FILTER (n = len(parts)) AS messages,
+       count(*) AS all_messages
+FROM (SELECT string_split(folder, '\') AS parts FROM mail), range(1, 10) AS t(n)
+WHERE n <= len(parts) GROUP BY 1""", MAIL)
     out["mapping_scan"] = sql("""
 SELECT id + (SELECT max(id) FROM old_mapping) AS id, lower(original_email) AS original_email,
        anonymized_email, norm_email FROM old_mapping""", [*ADDRESSES, "old_mapping"])
@@ -557,7 +576,8 @@ FROM (SELECT 'document' AS kind, doc_id AS id, text AS txt FROM documents
     out["body_truncate"] = """
 SELECT doc_id, least(length(text) * 8, 65535)::BIGINT AS n_chars,
        md5(substr(repeat(text, 8), 1, 65535)) AS digest FROM documents"""
-    out["bytes_decode"] = "SELECT doc_id, replace(text, chr(65533), '') || 'end' AS decoded FROM documents"
+    out["bytes_decode"] = (
+        "SELECT doc_id, text || chr(65533) || chr(65533) || 'end' AS decoded FROM documents")
     out["error_body"] = """
 SELECT doc_id, CASE WHEN source = 'src4' THEN '[Error extracting body: invalid UTF-8]' ELSE text END AS body
 FROM documents"""
@@ -723,6 +743,21 @@ SELECT m.msg_seq, {first_value('message-id')} AS message_id, {first_value('in-re
        {first_value('references')} AS refs, {first_value('from')} AS from_header, {first_value('cc')} AS cc_header,
        string_agg(value, ' | ' ORDER BY ln) FILTER (name = 'to') AS to_headers
 FROM mail m LEFT JOIN header_rows h USING (msg_seq) GROUP BY m.msg_seq""", HEADERS)
+    out["encoded_words"] = """
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'Re: =?utf-8?B?!?= ' ELSE '' END || text AS decoded
+FROM documents"""
+    out["address_grammar"] = """
+SELECT doc_id, pos, found[pos + 1][1] AS name, found[pos + 1][2] AS email
+FROM (SELECT doc_id, CASE doc_id % 5
+        WHEN 0 THEN [['Ann ' || doc_id, 'ann' || doc_id || '@x.org'],
+                     ['Doe, J. "' || lang || '"', 'doe@' || source || '.org']]
+        WHEN 1 THEN [['', 'a' || doc_id || '@x.org'], ['Bob (the second one)', 'b@x.org'],
+                     ['', 'c@x.org']]
+        WHEN 2 THEN [[lang || ' (x)', 'c' || doc_id || '@x.org']]
+        WHEN 3 THEN [['', '"odd one"@x.org'], ['', 'd' || doc_id || '@x.org']]
+        ELSE [['Zoë, ' || doc_id, 'z@x.org']] END AS found FROM documents),
+     range(3) AS t(pos)
+WHERE pos < len(found)"""
     threads = [*HEADERS, "thread_rows"]
     out["references_list"] = sql("""
 SELECT msg_seq, generate_subscripts(refs, 1) - 1 AS pos, unnest(refs) AS reference FROM thread_rows""", threads)

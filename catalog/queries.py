@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailveil.functions import checksums, headers as H, text as T
+from mailveil.functions.addresses import split_list
 from mailveil.functions.binding import let
+from mailveil.functions.encoded_words import decode_words
 from mailveil.functions.html import (
     clean_if_html, html_to_text, looks_like_html, select_body, truncate_body,
 )
@@ -253,7 +255,9 @@ def body_truncate(spark, sf):
 
 @query
 def bytes_decode(spark, sf):
-    raw = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FFC3")), F.encode(F.lit("end"), "UTF-8"))
+    """Texts with a genuine replacement character, half a character, and the first again."""
+    raw = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("EFBFBDFFC3EFBFBD")),
+                   F.encode(F.lit("end"), "UTF-8"))
     return documents(spark, sf).select("doc_id", T.decode_bytes(raw).alias("decoded"))
 
 
@@ -720,6 +724,39 @@ def header_fields(spark, sf):
         F.array_join(H.header_values(h, "to"), " | ").alias("to_headers"))
 
 
+@query
+def encoded_words(spark, sf):
+    """Whole texts as encoded words, cut in the middle of characters, and texts without any."""
+    raw, i = F.encode("text", "UTF-8"), F.col("doc_id")
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("text"), F.lit(1)), F.lit(41))
+    based = F.array_join(F.transform(starts, lambda k: F.concat(
+        F.lit("=?UTF-8?B?"), F.base64(F.substr(raw, k, F.lit(41))), F.lit("?="))), "\r\n ")
+    quoted = F.concat(F.lit("=?utf-8?q?"), F.regexp_replace(F.hex(raw), "(..)", "=$1"), F.lit("?="))
+    header = F.when(i % 3 == 0, based).when(i % 3 == 1, quoted).otherwise(
+        F.concat(F.lit("Re: =?utf-8?B?!?= "), F.col("text")))
+    return documents(spark, sf).select("doc_id", decode_words(header).alias("decoded"))
+
+
+@query
+def address_grammar(spark, sf):
+    """Lists with quoted pairs, groups, comments, odd local parts, routes and encoded names."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source")
+    forms = [
+        ("Ann ", "doc_id", " <ann", "doc_id", "@x.org>, \"Doe, J. \\\"", "lang", "\\\"\" <doe@",
+         "source", ".org>"),
+        ("Team ", "source", ": a", "doc_id", "@x.org, Bob (the (second) one) <b@x.org>;, c@x.org"),
+        ("c", "doc_id", "@x.org (", "lang", " \\(x\\))"),
+        ("\"odd one\"@x.org, <@r.org:d", "doc_id", "@x.org>"),
+    ]
+    written = [F.concat(*[F.lit(p) if k % 2 == 0 else F.col(p).cast("string")
+                          for k, p in enumerate(form)]) for form in forms]
+    name = F.base64(F.encode(F.concat(F.lit("Zoë, "), F.col("doc_id")), "UTF-8"))
+    written.append(F.concat(F.lit("=?utf-8?B?"), name, F.lit("?= <z@x.org>")))
+    value = F.get(F.array(*written), (F.col("doc_id") % 5).cast("int"))
+    parsed = rows.select("doc_id", F.posexplode(split_list(value)).alias("pos", "a"))
+    return parsed.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "a.name", "a.email")
+
+
 def threads(spark: SparkSession, sf: str) -> DataFrame:
     return load_mail(spark, sf, ["msg_seq", "transport_headers"]).select(
         "msg_seq", H.thread_info(F.col("transport_headers")).alias("t"))

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailveil.functions.addresses import ADDRESS_TYPE, parse_addresses
 from mailveil.functions.binding import built_once, let
+from mailveil.functions.encoded_words import decode_words
 
 MAIL_FIELDS = ("From", "To", "Cc")
 
-# One element of an address list: commas inside quotes do not split it.
-ADDRESS_ITEM = r'(?:[^",]++|"[^"]*+")++'
-ADDRESS_TYPE = "struct<name:string,email:string>"
 
 
 def unfold(headers: Column) -> Column:
@@ -24,11 +23,14 @@ def _line(name: str) -> str:
 
 
 def header_field(unfolded: Column, name: str) -> Column:
-    """Value of the first header of that name, null if missing or empty."""
-    return F.nullif(F.regexp_extract(unfolded, _line(name), 1), F.lit(""))
+    """Value of the first header of that name, its encoded words decoded; null if missing or
+    empty."""
+    value = F.nullif(F.regexp_extract(unfolded, _line(name), 1), F.lit(""))
+    return let(value, decode_words)
 
 
 def header_values(unfolded: Column, name: str) -> Column:
+    """Values of all headers of that name, as they are written."""
     return F.regexp_extract_all(unfolded, F.lit(_line(name)), F.lit(1))
 
 
@@ -71,28 +73,6 @@ def thread_info(headers: Column) -> Column:
     return let(unfold(headers), lambda h: let(keys(h), thread))
 
 
-def split_address(item: Column) -> Column:
-    """``Name <address>`` or a bare address as ``struct<name, email>``."""
-
-    def parts(text: Column) -> Column:
-        before = F.trim(F.regexp_extract(text, r"^([^<]*)<", 1))
-        name = F.regexp_replace(before, r'^"|"$', "")
-        angled = F.contains(text, F.lit("<"))
-        return F.struct(
-            F.when(angled, name).otherwise(F.lit("")).alias("name"),
-            F.when(angled, F.trim(F.regexp_extract(text, r"<([^>]*)>", 1))).otherwise(text).alias("email"),
-        )
-
-    return let(F.trim(item), parts)
-
-
-def parse_addresses(values: Column) -> Column:
-    """Header values as ``array<struct<name, email>>``, in order."""
-    items = F.flatten(F.transform(
-        values, lambda v: F.regexp_extract_all(v, F.lit(ADDRESS_ITEM), F.lit(0))))
-    return F.transform(F.filter(items, lambda i: F.trim(i) != ""), split_address)
-
-
 def header_addresses(headers: Column) -> Column:
     """``struct<from, to, cc>``: the first From line, all To and Cc lines."""
     none = F.array().cast(f"array<{ADDRESS_TYPE}>")

@@ -6,40 +6,97 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailveil.functions.binding import let
+from mailveil.functions.references import decode_references
 from mailveil.functions.text import collapse_newlines, strip_invisible
 
 # Elements that start and end a line.
 BLOCK_TAGS = (
     "address", "article", "aside", "blockquote", "body", "center", "dd", "div", "dl", "dt",
     "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
-    "header", "hr", "html", "main", "nav", "ol", "p", "pre", "section", "table", "tr", "ul",
-)
-DROPPED_ELEMENTS = ("script", "style", "head")
-
-# Pattern and replacement, in the order they apply.
-TAG_STEPS = (
-    (r"(?s)<!--.*?-->", ""),
-    *((rf"(?is)<{tag}\b.*?</{tag}\s*>", "") for tag in DROPPED_ELEMENTS),
-    (r"(?i)<li\b[^>]*>", "\n* "),
-    (rf"(?i)<(?:br|/?(?:{'|'.join(BLOCK_TAGS)}))\b[^>]*>", "\n"),
-    (r"(?i)</t[dh]\s*>", " "),
-    (r"</?[A-Za-z!?][^>]*>", ""),
-)
-# The ampersand comes last, so that nothing is unescaped twice.
-ENTITIES = (
-    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&amp;", "&"),
+    "header", "hr", "html", "main", "nav", "ol", "p", "section", "table", "tr", "ul",
 )
 # Openings that tell HTML from plain text.
 HTML_SIGNS = ("<html", "<body", "<div")
 
+# Control characters that mark what was found; none is left in the text before.
+OPEN, CLOSE, ITEM, BREAK, CELL, PRE, PRE_END = "\x01\x02\x03\x04\x05\x06\x07"
+MARKS = "\x01-\x07"
+BLANKS = r"[ \t\n\f\r]"
+
+# One automaton over comments, raw text, tags with quoted attributes, and declarations. What a
+# comment or raw element does not close goes to the end of the text, and a tag always finds
+# its end (``closable``), so no character is looked at again for each opening before it.
+# Repetitions of groups are possessive, which Java matches without recursion.
+RAW = "|".join(rf"<{tag}(?:{BLANKS}|[/>]).*?(?:</{tag}(?:(?:{BLANKS}|/)[^>]*+)?+>|\z)"
+               for tag in ("script", "style"))
+TAG = rf"""</?[a-z](?:[^>=]++|={BLANKS}*+"[^"]*+"|={BLANKS}*+'[^']*+'|=)*+>"""
+COMMENT = r"<!--(?:-?+>|.*?(?:--!?+>|\z))"
+MARKUP = rf"(?is){COMMENT}|{RAW}|{TAG}|<[!?][^>]*+>"
+
+NAME_END = rf"(?:(?:{BLANKS}|/)[^{CLOSE}]*+|>){CLOSE}"
+
+
+def _marked(name: str) -> str:
+    return f"{OPEN}<{name}{NAME_END}"
+
+
+# Pattern and replacement on marked text, in the order they apply. A head that is not closed
+# ends where the body begins.
+MARK_STEPS = (
+    (rf"(?i){OPEN}<(?:!--|(?:script|style)(?:{BLANKS}|[/>]))[^{CLOSE}]*+{CLOSE}", ""),
+    (rf"(?is){_marked('head')}.*?(?:{_marked('/head')}|({_marked('body')})|\z)", "$1"),
+    (rf"(?i){_marked('li')}", ITEM),
+    (rf"(?i){_marked('pre')}", PRE),
+    (rf"(?i){_marked('/pre')}", PRE_END),
+    (rf"(?i){OPEN}<(?:br|/?(?:{'|'.join(BLOCK_TAGS)})){NAME_END}", BREAK),
+    (rf"(?i){_marked('/t[dh]')}", CELL),
+    (rf"{OPEN}[^{CLOSE}]*+{CLOSE}", ""),
+)
+KEPT_SPACE = f"(?s){PRE}.*?(?:{PRE_END}|\\z)"
+
+
+def closable(text: Column) -> Column:
+    """The text in which every ``<`` of a tag has a ``>`` somewhere after it.
+
+    Behind the last ``>`` nothing can be a tag; a ``<`` there becomes a reference.
+    """
+    def split(t: Column) -> Column:
+        last = F.length(t) - F.instr(F.reverse(t), ">") + 1
+        tail = F.when(F.contains(t, F.lit(">")), F.substr(t, last + 1)).otherwise(t)
+        return F.when(F.contains(tail, F.lit("<")), F.concat(
+            F.substr(t, F.lit(1), F.length(t) - F.length(tail)),
+            F.regexp_replace(tail, "<(?!!--)", "&lt;"))).otherwise(t)
+
+    return let(text, split)
+
+
+def fold_spaces(text: Column) -> Column:
+    """Runs of blanks as one space, but in preformatted text."""
+    def folded(part: Column) -> Column:
+        return F.regexp_replace(part, f"{BLANKS}++", " ")
+
+    def around(t: Column) -> Column:
+        # Other text and preformatted text in turn.
+        cut = F.split(F.regexp_replace(t, KEPT_SPACE, f"{OPEN}$0{OPEN}"), OPEN, -1)
+        return F.array_join(F.transform(cut, lambda part, i: F.when(
+            i % 2 == 1, part).otherwise(folded(part))), "")
+
+    return F.when(F.contains(text, F.lit(PRE)), around(text)).otherwise(folded(text))
+
 
 def html_to_text(html: Column) -> Column:
-    text = html
-    for pattern, replacement in TAG_STEPS:
+    """The text of a document or a piece of one; null stays null.
+
+    Comments, scripts, styles and the head go; what they do not close ends with the text. A
+    ``>`` inside a quoted attribute ends no tag. White space counts once unless preformatted.
+    """
+    text = closable(F.regexp_replace(html, f"[{MARKS}]", ""))
+    text = F.regexp_replace(text, MARKUP, f"{OPEN}$0{CLOSE}")
+    for pattern, replacement in MARK_STEPS:
         text = F.regexp_replace(text, pattern, replacement)
-    for name, character in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(character))
+    text = let(text, lambda t: let(decode_references(t), fold_spaces))
+    text = F.regexp_replace(text, f"[{BREAK}{PRE}{PRE_END}]", "\n")
+    text = F.replace(F.replace(text, F.lit(ITEM), F.lit("\n* ")), F.lit(CELL), F.lit(" "))
     return collapse_newlines(strip_invisible(text))
 
 

@@ -52,11 +52,12 @@ def cut_at(text: Column, pattern: str, mark: str) -> Column:
     return F.split(F.regexp_replace(unmarked, pattern, mark), SEPARATOR, -1)
 
 
-def locate(text: Column, pattern: str) -> Column:
+def locate(text: Column, pattern: str, opening: str = "") -> Column:
     """Non-overlapping matches with their positions, as ``array<struct<start,end,text>>``.
 
     Cutting before and after each match gives gaps and matches in turn. They tile the
-    text, so one running sum of their lengths gives every position.
+    text, so one running sum of their lengths gives every position. What ``opening`` matches
+    before a match belongs to the gap.
     """
     none = F.array().cast(f"array<{HIT}>")
 
@@ -69,7 +70,11 @@ def locate(text: Column, pattern: str) -> Column:
             (p["end"] - F.length(p["text"])).alias("start"), p["end"].alias("end"),
             p["text"].alias("text")))
 
-    return let(cut_at(text, pattern, f"{SEPARATOR}$0{SEPARATOR}"), lambda pieces: F.when(
+    if opening:
+        cut = cut_at(text, f"({opening})({pattern})", f"$1{SEPARATOR}$2{SEPARATOR}")
+    else:
+        cut = cut_at(text, pattern, f"{SEPARATOR}$0{SEPARATOR}")
+    return let(cut, lambda pieces: F.when(
         F.size(pieces) > 1, let(pieces, hits)).otherwise(none))
 
 
@@ -78,7 +83,8 @@ def find(text: Column, recognizer: Recognizer, place: int) -> Column:
     valid = recognizer.validator
 
     def spans_of(pattern: str, score: float) -> Column:
-        hits = locate(text, widen(pattern, recognizer.digit_edges or recognizer.numeric))
+        hits = locate(text, widen(pattern, recognizer.digit_edges or recognizer.numeric),
+                      recognizer.opening)
         if valid is not None:
             hits = F.filter(hits, lambda h: valid(h["text"]))
             score = 1.0

@@ -15,9 +15,24 @@ ZERO_WIDTH = (
 )
 
 
+# Stands for a genuine replacement character while bad bytes become one.
+ESCAPE, BAD = "\x1a", "\ufffd"
+
+
 def decode_bytes(raw: Column) -> Column:
-    """UTF-8 with bad bytes dropped. A genuine replacement character goes with them."""
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
+    """UTF-8 with bad bytes dropped.
+
+    Genuine replacement characters stay: they are escaped before bad bytes turn into one. Three
+    whole bytes are one wherever they stand, as no character goes on across their first.
+    """
+    def replaced(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+        for old, new in pairs:
+            text = F.replace(text, F.lit(old), F.lit(new))
+        return text
+
+    text = replaced(raw.cast("string"), ((ESCAPE, ESCAPE + "0"), (BAD, ESCAPE + "1")))
+    return replaced(F.make_valid_utf8(text),
+                    ((BAD, ""), (ESCAPE + "1", BAD), (ESCAPE + "0", ESCAPE)))
 
 
 def decode_or_error(raw: Column) -> Column:

@@ -24,7 +24,21 @@ def drop_calendar(mail: DataFrame) -> DataFrame:
 
 
 def list_folders(mail: DataFrame) -> DataFrame:
-    return mail.select("folder").distinct().orderBy("folder")
+    """``(folder, messages, all_messages)``: every folder of the tree, with its own mail and
+    that of the folders below it.
+
+    A folder without mail of its own is known from those below. Each message counts for all
+    folders above it before the one shuffle, where a folder is one row per task.
+    """
+    parts = F.split("folder", r"\\", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda n: F.struct(
+        F.array_join(F.slice("_parts", F.lit(1), n), "\\").alias("folder"),
+        (n == F.size("_parts")).alias("own")))
+    return (
+        mail.filter(F.col("folder").isNotNull()).select(parts.alias("_parts"))
+        .select(F.explode(above).alias("f")).groupBy("f.folder")
+        .agg(F.count_if("f.own").alias("messages"), F.count("*").alias("all_messages"))
+    )
 
 
 def folder_matches(folder: Column, path: str) -> Column:
