@@ -57,12 +57,13 @@ def one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
     ``rows`` says how many rows repeat the id and text. Where that is more than one, a row
     with the smallest hash of its columns stands for all; each task sends one row of those.
+    The names of rows are hashed, so the texts that meet them are not sorted.
     """
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"),
                         *[c.alias(f"_{i}") for i, c in enumerate(row_key(docs))])
 
     def named(part: DataFrame) -> DataFrame:
-        slim = part.select(F.col("doc_id").alias("id"), "digest")
+        slim = part.select(F.col("doc_id").alias("id"), "digest").hint("shuffle_hash")
         return keyed.join(slim, keyed["_id"].eqNullSafe(slim["id"])
                           & (keyed["_0"] == slim["digest"]), "left_semi")
 

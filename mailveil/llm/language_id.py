@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,17 +45,16 @@ MIN_MARGIN = 0.002
 # Probability that a saved byte stands for, as a base: each makes the language so much likelier.
 BYTE_ODDS = 1.5
 
-# Characters that \w takes beside letters, digits and the underscore, such as superscripts,
-# fractions and Roman numerals.
-NUMBER_LIKE = "".join(
-    c for c in map(chr, range(sys.maxunicode + 1))
-    if c.isalnum() and not c.isalpha() and not c.isdecimal())
-NO_LETTERS = re.compile(rf"[\W\d_{NUMBER_LIKE}]+")
+NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def plain(text: str | None) -> bytes:
-    """Lower-case letters, one space for anything between them."""
-    return NO_LETTERS.sub(" ", (text or "").lower()).strip().encode()
+    """Lower-case letters (Unicode category L), one space for anything between them."""
+    words = NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    if not words.replace(" ", "").isalpha():
+        # \w also takes numbers that are no digits: superscripts, fractions, Roman numerals.
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
+    return words.encode()
 
 
 def sample_dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
