@@ -13,6 +13,11 @@ position make a stretch.
 2. Suffix buckets: for words that more than one document has but in different stretches, the
    block sends the stretches themselves. A bucket sorts the suffixes of its stretches.
 3. The blocks apply both decisions to their texts.
+
+A short passage that very many documents have in different surroundings gives a word with a
+stretch for each. Such hot words, few by their share of all sampled positions, take neither
+way: the blocks send the strings of their stretches, each once with its smallest document,
+and a task decides on strings by their hash, so no word is one task's work.
 """
 
 from __future__ import annotations
@@ -34,6 +39,10 @@ WIDTH = LENGTH - WORD + 1  # words inside a string
 BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 50_000
 BUCKET_RANKS = 1 << 20
+# A word is hot if its stretches, distinct in each block, are more than one part in 2 * HOT_PARTS
+# of all, and more than HOT_RANKS; so there are fewer than 2 * HOT_PARTS hot words.
+HOT_PARTS = 1000
+HOT_RANKS = 1 << 16
 # Positions worked on at a time, and suffixes sorted at a time.
 CHUNK = 1 << 18
 SUFFIXES_AT_ONCE = 1 << 19
@@ -44,7 +53,7 @@ ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x6A09E667F3BCC909, 0xBB67AE85
 BYTE_HASHES = np.random.default_rng(50).integers(0, 1 << 63, 256, np.uint64) * ODD[0]
 PLACE = np.uint64((1 << 24) - 1)  # the low bits of a word's hash give way to its position
 
-NONE, WHOLE, SORT = 0, 1, 2
+NONE, WHOLE, SORT, HOT = 0, 1, 2, 3
 
 
 def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,9 +116,10 @@ def find_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
 
 class Block:
     """The documents of a block in order of id, and its distinct stretches, each with the
-    smallest document that has it, in order of bucket and hash."""
+    smallest document that has it, in order of bucket and hash. Stretches of hot words stand
+    apart."""
 
-    def __init__(self, table: pa.Table, buckets: int):
+    def __init__(self, table: pa.Table, buckets: int, hot: np.ndarray):
         ids = table.column("doc_id").to_numpy()
         texts = table.column("body").to_pylist()
         order = np.argsort(ids, kind="stable")
@@ -119,7 +129,10 @@ class Block:
         self.texts = [texts[i] for i in order]
         self.ends = np.cumsum([len(t) for t in self.texts])
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
-        runs = self.runs = find_runs(self.data, self.ends)
+        runs = find_runs(self.data, self.ends)
+        is_hot = np.isin(runs.word, hot)
+        self.hot = Runs(*(x[is_hot] for x in runs))
+        runs = self.runs = Runs(*(x[~is_hot] for x in runs))
         bucket = (runs.word % np.uint64(buckets)).astype(np.int64)
         self.doc = np.searchsorted(self.ends, runs.start, side="right")
         by = np.lexsort((self.doc, runs.stretch, runs.word, bucket))
@@ -139,6 +152,18 @@ class Block:
             if b > a:
                 yield int(self.bucket[a]), int(a), int(b)
 
+    def hot_strings(self):
+        """Where the strings of hot words start, the number of each string among the distinct
+        ones, one place of each of these, and the smallest document that has it."""
+        counts = self.hot.count
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(self.hot.start, counts) + offset
+        doc = self.ids[np.searchsorted(self.ends, at, side="right")]
+        by, new = string_order(string_keys(self.data, at), doc)
+        of = np.empty(len(at), np.int64)
+        of[by] = np.cumsum(new) - 1
+        return at, doc, of, at[by[new]], doc[by[new]]
+
     def decisions(self, decided: pa.Table) -> np.ndarray:
         """What the cover ranks say of each distinct stretch."""
         out = np.zeros(len(self.first), np.uint8)
@@ -151,6 +176,24 @@ class Block:
         return out
 
 
+def string_keys(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The strings at ``starts``, eight bytes at a time as a number."""
+    if not len(starts):
+        return np.empty((0, -(-LENGTH // 8)), np.uint64)
+    strings = np.zeros((len(starts), -(-LENGTH // 8) * 8), np.uint8)
+    strings[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[starts]
+    return strings.view(">u8").astype(np.uint64)
+
+
+def string_order(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by string and document, and in it where another string begins."""
+    by = np.lexsort((doc, *keys.T[::-1]))
+    sorted_keys = keys[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (sorted_keys[1:] != sorted_keys[:-1]).any(axis=1)
+    return by, new
+
+
 def packed(numbers: np.ndarray, size: int) -> bytes:
     """The low bytes of each number."""
     return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
@@ -170,13 +213,65 @@ SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("words", pa.bi
                   ("stretches", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
 DECIDED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()),
                      ("data", pa.binary())])
+STRINGS = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("strings", pa.binary()),
+                     ("ids", pa.binary()), ("which", pa.binary())])
 RAW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("lengths", pa.binary()),
                  ("texts", pa.binary()), ("ids", pa.binary()), ("which", pa.binary())])
 
 
-def send_ranks(buckets: int):
+def heavy_words(table: pa.Table) -> pa.Table:
+    """Words with a large share of the block's stretches, and in a row without a word how many
+    there are; at most 2 * HOT_PARTS words are."""
+    texts = table.column("body").to_pylist()
+    runs = find_runs(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
+    words, n = np.unique(runs.word, return_counts=True)
+    held = np.isin(runs.word, words[n * 2 * HOT_PARTS > len(runs.word)])
+    # Only those are worth telling how many of their stretches differ.
+    pairs = np.unique(np.stack((runs.word[held], runs.stretch[held])), axis=1)
+    words, n = np.unique(pairs[0], return_counts=True)
+    return pa.table({"word": pa.array([*words.view(np.int64).tolist(), None], pa.int64()),
+                     "n": pa.array([*n.tolist(), len(runs.word)], pa.int64())})
+
+
+def send_hot(buckets: int, hot: np.ndarray, parts: int):
+    """The strings of hot words of a block, each once, by the hash of the string."""
     def run(table: pa.Table) -> pa.Table:
-        block, number, rows = Block(table, buckets), table.column("block")[0].as_py(), []
+        block, rows = Block(table, buckets, hot), []
+        _, _, _, place, least = block.hot_strings()
+        keys, number = string_keys(block.data, place), table.column("block")[0].as_py()
+        mixed = np.zeros(len(keys), np.uint64)
+        for column in keys.T:
+            mixed = join_hashes(mixed, column)
+        part = (mixed % np.uint64(parts)).astype(np.int64)
+        for k in np.unique(part):
+            which = np.flatnonzero(part == k)
+            rows.append({"part": int(k), "block": number, "strings": keys[which].tobytes(),
+                         "ids": least[which].astype("<i8").tobytes(),
+                         "which": which.astype("<u4").tobytes()})
+        return table_of(rows, STRINGS)
+
+    return run
+
+
+def decide_hot(table: pa.Table) -> pa.Table:
+    """Which strings a smaller document in another block has too."""
+    columns = {c: table.column(c).to_pylist() for c in STRINGS.names}
+    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in columns["strings"]]).reshape(
+        -1, -(-LENGTH // 8))
+    ids = np.concatenate([np.frombuffer(x, "<i8") for x in columns["ids"]])
+    which = np.concatenate([np.frombuffer(x, "<u4") for x in columns["which"]])
+    block = np.repeat(columns["block"], [len(x) // 4 for x in columns["which"]])
+    by, new = string_order(keys, ids)
+    later = np.empty(len(by), bool)
+    later[by] = ids[by] > ids[by][new][np.cumsum(new) - 1]
+    return table_of([{"block": int(b), "bucket": 0, "kind": HOT,
+                      "data": which[later & (block == b)].tobytes()}
+                     for b in np.unique(block[later])], DECIDED)
+
+
+def send_ranks(buckets: int, hot: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        block, number, rows = Block(table, buckets, hot), table.column("block")[0].as_py(), []
         for bucket, a, b in block.parts():
             ids, places = np.unique(block.least[a:b], return_inverse=True)
             runs = block.first[a:b]
@@ -221,9 +316,9 @@ def decide_ranks(table: pa.Table) -> pa.Table:
     return table_of(rows, DECIDED)
 
 
-def send_stretches(buckets: int):
+def send_stretches(buckets: int, hot: np.ndarray):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        block, rows = Block(left, buckets), []
+        block, rows = Block(left, buckets, hot), []
         codes = block.decisions(right)
         for bucket, a, b in block.parts():
             which = np.flatnonzero(codes[a:b] == SORT) + a
@@ -245,12 +340,8 @@ def send_stretches(buckets: int):
 def later_suffixes(text: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which of the strings at ``starts`` also start in a smaller document: the suffixes are
     sorted by their first LENGTH bytes, eight at a time as a number, then by document."""
-    strings = np.zeros((len(starts), -(-LENGTH // 8) * 8), np.uint8)
-    strings[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[starts]
-    keys = strings.view(">u8").astype(np.uint64)
-    by = np.lexsort((doc, *keys.T[::-1]))
-    keys, d = keys[by], doc[by]
-    new = np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))
+    by, new = string_order(string_keys(text, starts), doc)
+    d = doc[by]
     first = d[np.flatnonzero(new)][np.cumsum(new) - 1]
     out = np.empty(len(by), bool)
     out[by] = d > first
@@ -293,11 +384,11 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
                     ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def apply_decisions(buckets: int, with_text: bool):
+def apply_decisions(buckets: int, hot: np.ndarray, with_text: bool):
     schema = RESULT.append(pa.field("kept", pa.binary())) if with_text else RESULT
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left, buckets)
+        block = Block(left, buckets, hot)
         codes = block.decisions(right)
         runs, opened = block.runs, np.zeros(len(block.data) + 1, np.int32)
         # In a block the smallest document of a stretch stands for all, and the others go.
@@ -317,6 +408,16 @@ def apply_decisions(buckets: int, with_text: bool):
             at = runs.start[by[np.repeat(begin[which], times) + place]] + np.repeat(offset, times)
             np.add.at(opened, at, 1)
             np.add.at(opened, at + LENGTH, -1)
+        if len(block.hot.start):
+            at, doc, of, _, least = block.hot_strings()
+            later = doc > least[of]
+            for kind, data in zip(right.column("kind").to_pylist(), right.column("data").to_pylist()):
+                if kind == HOT:
+                    gone = np.zeros(len(least), bool)
+                    gone[np.frombuffer(data, "<u4")] = True
+                    later |= gone[of]
+            np.add.at(opened, at[later], 1)
+            np.add.at(opened, at[later] + LENGTH, -1)
         removed = np.cumsum(opened[:-1]) > 0
         rows, start = [], 0
         for i, end in zip(block.ids.tolist(), block.ends.tolist()):
@@ -336,13 +437,24 @@ def apply_decisions(buckets: int, with_text: bool):
 NO_ID = (1 << 63) - 1  # stands for a null id, which is larger than any
 
 
+def hot_words(rows: DataFrame) -> np.ndarray:
+    """The hashes of hot words; fewer than 2 * HOT_PARTS reach the driver."""
+    counts = rows.groupBy("block").applyInArrow(heavy_words, "word long, n long").groupBy(
+        "word").agg(F.sum("n").alias("n"))
+    total = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("word").isNotNull() & (F.col("n") > HOT_RANKS)
+                        & (F.col("n") * 2 * HOT_PARTS > total))
+    return np.array([r.word for r in hot.select("word").collect()], np.int64).view(np.uint64)
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept``,
     the remaining bytes, if asked for.
 
     Every byte inside a string of LENGTH bytes that also starts in a document with a smaller
     id goes; strings are those of the input. A null text is empty; texts shorter than LENGTH
-    lose nothing. A null id is larger than any other. Rows with the same id are the same
+    lose nothing. A null id is larger than any other; rows are dealt out by id and text, so
+    neither null ids nor a repeated one make a large block. Rows with the same id are the same
     document and take nothing from each other; each gives a row. Other columns are not read.
     """
     rows = docs.select(
@@ -351,18 +463,25 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     n, size = rows.agg(F.count("*"), F.sum(F.octet_length("body"))).first()
     blocks = max((size or 0) // BLOCK_BYTES, n // BLOCK_ROWS) + 1
     buckets = (size or 0) * 2 // (WIDTH + 1) // BUCKET_RANKS + 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "body"), F.lit(blocks)))
+    hot = hot_words(rows)
 
     ranks = rows.groupBy("block").applyInArrow(
-        send_ranks(buckets), "bucket long, block long, words binary, stretches binary, "
+        send_ranks(buckets, hot), "bucket long, block long, words binary, stretches binary, "
                              "places binary, ids binary")
     decided_schema = "block long, bucket long, kind int, data binary"
     whole = ranks.groupBy("bucket").applyInArrow(decide_ranks, decided_schema)
     stretches = rows.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(
-        send_stretches(buckets), "bucket long, block long, lengths binary, texts binary, "
+        send_stretches(buckets, hot), "bucket long, block long, lengths binary, texts binary, "
                                  "ids binary, which binary")
     sorted_out = stretches.groupBy("bucket").applyInArrow(sort_suffixes, decided_schema)
     decided = whole.unionByName(sorted_out)
+    if len(hot):
+        strings = rows.groupBy("block").applyInArrow(
+            send_hot(buckets, hot, blocks),
+            "part long, block long, strings binary, ids binary, which binary")
+        decided = decided.unionByName(
+            strings.groupBy("part").applyInArrow(decide_hot, decided_schema))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return rows.groupBy("block").cogroup(decided.groupBy("block")).applyInArrow(
-        apply_decisions(buckets, with_text), out + (", kept binary" if with_text else ""))
+        apply_decisions(buckets, hot, with_text), out + (", kept binary" if with_text else ""))

@@ -193,6 +193,47 @@ def test_remove_repeats(docs_of, odd_rows, monkeypatch, block_bytes):
     assert got == sorted(brute_removal(rows))
 
 
+@pytest.mark.parametrize("hot_ranks", [1 << 16, 20])
+def test_a_short_footer_in_many_documents(docs_of, monkeypatch, hot_ranks):
+    """Hot words are decided string by string, with the result of the usual way."""
+    monkeypatch.setattr("mailveil.llm.suffix_dedup.BLOCK_BYTES", 6000)
+    monkeypatch.setattr("mailveil.llm.suffix_dedup.HOT_RANKS", hot_ranks)
+    rnd = random.Random(7)
+
+    def noise(n):
+        return "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+
+    footer, passage = "-- sent from my telephone, all rights!! --", noise(90)
+    rows = []
+    for i in range(240):
+        text = noise(rnd.randint(0, 120))
+        if i % 3:
+            # Few characters around it, so some strings with the footer are equal too.
+            text += rnd.choice("xyz") * 8 + footer + rnd.choice("uvw") * 8
+        if i % 40 == 1:
+            text += passage
+        rows.append((i if i % 10 else 5, text))
+    want = sorted(brute_removal(rows))
+    if hot_ranks == 20:
+        from mailveil.llm import suffix_dedup
+        seen = []
+        real = suffix_dedup.hot_words
+        monkeypatch.setattr(suffix_dedup, "hot_words", lambda r: seen.append(real(r)) or seen[-1])
+    got = sorted(map(tuple, remove_repeats(docs_of(rows)).collect()))
+    assert got == want and sum(r[2] for r in got) > 500
+    if hot_ranks == 20:
+        assert len(seen[0]) > 0
+
+
+def test_null_ids_are_dealt_out(docs_of):
+    rnd = random.Random(8)
+    shared = "".join(rnd.choice("abcdefgh ") for _ in range(70))
+    rows = [(None, f"{k} {shared}") for k in range(30)] + [(4, shared), (9, shared + "!")]
+    out = remove_repeats(docs_of(rows), with_text=True).collect()
+    assert len(out) == 32
+    assert all(shared.encode() not in bytes(r.kept) for r in out if r.doc_id != 4)
+
+
 def test_removal_of_odd_tables(docs_of):
     assert remove_repeats(docs_of([])).count() == 0
     same = "x" * 30 + "y" * 40
