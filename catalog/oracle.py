@@ -126,7 +126,8 @@ SELECT i + 1 AS msg_seq,
        CASE WHEN i % 3 = 1 AND i % 27 <> 25 THEN {NOTE} END AS body,
        CASE WHEN i % 3 = 2 AND i % 27 <> 26 THEN html || '<p>' || pii || '</p>' END AS html_body,
        {header_lines()} AS transport_headers,
-       CASE WHEN i % 5 = 0 THEN NULL ELSE i % 4 END AS number_of_attachments
+       CASE WHEN i % 5 = 0 THEN NULL ELSE i % 4 END AS number_of_attachments,
+       CASE WHEN i % 10 = 5 THEN ['a' || i, 'b' || i] END AS attachments
 FROM filled LEFT JOIN pages ON page_id = i % (SELECT count(*) FROM pages)"""
 CTES["kept"] = r"""
 SELECT * FROM mail WHERE NOT regexp_matches(coalesce(message_class, ''),
@@ -206,6 +207,10 @@ UNION ALL SELECT msg_seq, 'body', body_text FROM texts
 UNION ALL SELECT msg_seq, 'joined', joined_text FROM texts"""
 CTES["joined_fields"] = "SELECT msg_seq AS k, 'joined' AS field, joined_text AS txt FROM texts"
 CTES["doc_fields"] = "SELECT doc_id AS k, 'text' AS field, text AS txt FROM documents"
+CTES["file_fields"] = """
+SELECT doc_id // 20 AS k, 'text' AS field,
+       string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS txt
+FROM documents GROUP BY doc_id // 20"""
 
 
 # ---- headers ------------------------------------------------------------------------
@@ -472,7 +477,7 @@ SPAN_SELECT = "SELECT k AS {key}, entity, start_pos, end_pos, score FROM {table}
 
 def findings(select: str, fields: str = "joined_fields", people: bool = True, mask: dict[str, str] | None = None,
              entities: Iterable[str] | None = None, more: Iterable[str] = (), key: str = "msg_seq") -> str:
-    base = {*TEXTS, *more} if fields != "doc_fields" else set(more)
+    base = {*TEXTS, *more} if fields not in ("doc_fields", "file_fields") else set(more)
     if people:
         base |= {*ADDRESSES, "names"}
     extra = finding_ctes(fields, people, entities)
@@ -509,7 +514,7 @@ SELECT t.msg_seq, coalesce(k.message_id, '') AS "MessageId", k.delivery_time AS
        {filled('b.body_masked', 't.msg_seq', "'body'")} AS "EmailBodySynthetic",
        t.subject_text AS "OriginalSubject", t.body_text AS "OriginalEmailBody",
        c.entities_found AS "PIIEntitiesFound", c.pii_count AS "PIICount",
-       coalesce(k.number_of_attachments, 0)::BIGINT AS "NoOfAttachments",
+       coalesce(k.number_of_attachments, len(k.attachments), 0)::BIGINT AS "NoOfAttachments",
        r.message_id AS "ThreadMessageId", coalesce(r.refs[1], r.irt, r.message_id) AS "ThreadId",
        coalesce(r.irt, r.refs[-1]) AS "ParentId",
        coalesce(array_to_string(r.refs, '; '), '') AS "References", len(r.refs)::BIGINT AS "ReplyDepth"
@@ -539,7 +544,8 @@ def build() -> dict[str, str]:
 
     # Sources and sinks
     out["mail_scan"] = sql(
-        "SELECT * REPLACE (number_of_attachments::BIGINT AS number_of_attachments) FROM mail", MAIL)
+        "SELECT * REPLACE (number_of_attachments::BIGINT AS number_of_attachments, "
+        "array_to_string(attachments, ', ') AS attachments) FROM mail", MAIL)
     out["folder_list"] = sql(r"""
 SELECT array_to_string(parts[1:n], '\') AS folder, count(*) FILTER (n = len(parts)) AS messages,
        count(*) AS all_messages
@@ -556,6 +562,9 @@ SELECT "MessageId", "SubjectMasked", "PIIEntitiesFound", "PIICount"::BIGINT AS "
 FROM (SELECT {CSV_SELECT} FROM record) ORDER BY "MessageId", "EmailReceivedDate" LIMIT 100""")
     out["mask_text_files"] = findings(
         "SELECT k AS doc_id, masked FROM masked WHERE trim(txt) <> ''", "doc_fields", False, PLACEHOLDERS)
+    out["mask_file_parts"] = findings("""
+SELECT k AS part, generate_subscripts(lines, 1)::BIGINT AS line, unnest(lines) AS text
+FROM (SELECT k, string_split(masked, chr(10)) AS lines FROM masked)""", "file_fields", False, PLACEHOLDERS)
 
     # Filters and projections
     out["drop_calendar"] = sql("SELECT msg_seq, message_class FROM kept", KEPT)
@@ -626,7 +635,8 @@ WHERE norm_email NOT IN (SELECT norm_email FROM old_mapping)""", [*OCCURRENCES,
     out["first_seen_address"] = sql(
         "SELECT norm_email, msg_seq, field::BIGINT AS field, pos, raw, n FROM seen", [*OCCURRENCES, "seen"])
     out["attachment_count"] = sql(
-        "SELECT msg_seq, coalesce(number_of_attachments, 0)::BIGINT AS attachments FROM kept", KEPT)
+        "SELECT msg_seq, coalesce(number_of_attachments, len(attachments), 0)::BIGINT AS attachments "
+        "FROM kept", KEPT)
 
     # Windows, sort and limit
     out["batch_number"] = sql(

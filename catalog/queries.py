@@ -24,6 +24,7 @@ from mailveil.functions.patterns import widen
 from mailveil.functions.synthetic import GENERATORS, fill_placeholders, generate
 from mailveil.operators import checks, folders, numbering, people as P, pseudonyms as A
 from mailveil.plans import jobs
+from mailveil.plans.file_parts import mask_parts, numbered_lines
 from mailveil.plans.message_record import (
     FIELDS, Options, find_people, joined_text, message_records, with_masks, with_people,
     with_spans, with_texts,
@@ -145,7 +146,8 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def mail_scan(spark, sf):
     changed = {"delivery_time": F.col("delivery_time").cast("string"),
-               "number_of_attachments": F.col("number_of_attachments").cast("bigint")}
+               "number_of_attachments": F.col("number_of_attachments").cast("bigint"),
+               "attachments": F.array_join("attachments", ", ")}
     return load_mail(spark, sf).select(
         *[changed.get(f.name, F.col(f.name)).alias(f.name) for f in MAIL_SCHEMA])
 
@@ -207,6 +209,20 @@ def mask_text_files(spark, sf):
     return mask_texts(documents(spark, sf), F.col("doc_id")).select("doc_id", "masked")
 
 
+@query
+def mask_file_parts(spark, sf):
+    """Files of some twenty documents each, masked in chunks of about a fifth of a file."""
+    folder = shared_folder(spark, "texts")
+    rows = documents(spark, sf).select(
+        F.call_function("div", F.col("doc_id"), F.lit(20)).alias("part"), "doc_id",
+        F.coalesce("text", F.lit("")).alias("value"))
+    (rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value")
+     .write.partitionBy("part").text(folder))
+    lines = numbered_lines(mask_parts(spark, folder, size=10_000))
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint")
+    return lines.select(part.alias("part"), "line", "text")
+
+
 # ---- filters and projections --------------------------------------------------------
 
 @query
@@ -397,8 +413,8 @@ def first_seen_address(spark, sf):
 
 @query
 def attachment_count(spark, sf):
-    number = H.attachment_count(F.col("number_of_attachments"))
-    return kept_mail(spark, sf, "number_of_attachments").select(
+    number = H.attachment_count(F.col("number_of_attachments"), F.col("attachments"))
+    return kept_mail(spark, sf, "number_of_attachments", "attachments").select(
         "msg_seq", number.cast("bigint").alias("attachments"))
 
 

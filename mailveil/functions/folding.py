@@ -2,6 +2,7 @@
 
 Arrays do not grow in place: appending copies what is there. A fold that collects results
 one by one is quadratic, so these work block by block, and only whole blocks are collected.
+An array that is one block needs no blocks; it is folded directly, with the same result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,13 @@ def blocks(items: Column) -> Column:
     return let(items, cut)
 
 
+def one_or_more_blocks(items: Column, direct: Callable[[Column], Column],
+                       by_block: Callable[[Column], Column]) -> Column:
+    """The first way for an array of at most BLOCK items, the second for a longer one."""
+    return let(items, lambda held: F.when(F.size(held) <= BLOCK, direct(held)).otherwise(
+        by_block(held)))
+
+
 def fold(items: Column, state: Column, none: Column,
          step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """Fold the items with a state and collect what each step gives.
@@ -49,8 +57,10 @@ def fold(items: Column, state: Column, none: Column,
             r["state"], F.array_append(acc["out"], r["out"])))
 
     parts = F.array_repeat(none, F.lit(0))
-    return F.aggregate(blocks(items), pair(state, parts), block,
-                       lambda acc: pair(acc["state"], F.flatten(acc["out"])))
+    return one_or_more_blocks(
+        items, lambda held: F.aggregate(held, pair(state, none), one),
+        lambda held: F.aggregate(blocks(held), pair(state, parts), block,
+                                 lambda acc: pair(acc["state"], F.flatten(acc["out"]))))
 
 
 def side_by_side(left: Column, right: Column, *names: str) -> Column:
@@ -62,6 +72,10 @@ def running(values: Column, start: int, join: Callable[[Column, Column], Column]
     """The results of joining all values up to each one, as integers."""
     none = F.array().cast("array<int>")
 
+    def folded(part: Column, state: Column) -> Column:
+        return F.aggregate(part, F.struct(state.alias("state"), none.alias("out")), one,
+                           lambda acc: acc["out"])
+
     def one(acc: Column, value: Column) -> Column:
         joined = join(acc["state"], value).cast("int")
         return F.struct(joined.alias("state"), F.array_append(acc["out"], joined).alias("out"))
@@ -70,10 +84,11 @@ def running(values: Column, start: int, join: Callable[[Column, Column], Column]
         # A block goes on where the last one ended.
         state = F.coalesce(F.try_element_at(F.try_element_at(done, F.lit(-1)), F.lit(-1)),
                            F.lit(start))
-        return F.array_append(done, F.aggregate(
-            part, F.struct(state.alias("state"), none.alias("out")), one, lambda acc: acc["out"]))
+        return F.array_append(done, folded(part, state))
 
-    return F.flatten(F.aggregate(blocks(values), F.array_repeat(none, F.lit(0)), block))
+    return one_or_more_blocks(
+        values, lambda held: folded(held, F.lit(start)),
+        lambda held: F.flatten(F.aggregate(blocks(held), F.array_repeat(none, F.lit(0)), block)))
 
 
 def cut_out(text: Column, ranges: Column) -> Column:
@@ -91,4 +106,5 @@ def cut_out(text: Column, ranges: Column) -> Column:
                 stretch, r["start"] - b["low"] + 1,
                 F.greatest(r["end"] - r["start"], F.lit(0))))))
 
-    return F.flatten(F.transform(blocks(ranges), of_block))
+    return one_or_more_blocks(
+        ranges, of_block, lambda held: F.flatten(F.transform(blocks(held), of_block)))

@@ -30,7 +30,7 @@ BLANKS = r"[ \t\n\f\r]"
 RAW = "|".join(rf"<{tag}(?:{BLANKS}|[/>]).*?(?:</{tag}(?:(?:{BLANKS}|/)[^>]*+)?+>|\z)"
                for tag in ("script", "style"))
 TAG = rf"""</?[a-z](?:[^>=]++|={BLANKS}*+"[^"]*+"|={BLANKS}*+'[^']*+'|=)*+>"""
-COMMENT = r"<!--(?:-?+>|.*?(?:--!?+>|\z))"
+COMMENT = r"<!---?+>|<!--.*?-->|<!--.*\z"
 MARKUP = rf"(?is){COMMENT}|{RAW}|{TAG}|<[!?][^>]*+>"
 
 NAME_END = rf"(?:(?:{BLANKS}|/)[^{CLOSE}]*+|>){CLOSE}"

@@ -16,7 +16,17 @@ def reject_reason(message_id: Column, delivery_time: Column) -> Column:
 
 
 def with_errors(mail: DataFrame) -> DataFrame:
-    return mail.withColumn("_error", reject_reason(F.col("message_id"), F.col("delivery_time")))
+    """Add ``_error``: why a message is rejected, with what could not be read of it, if that is
+    known (``_errors``); null where it is not."""
+    reason = reject_reason(F.col("message_id"), F.col("delivery_time"))
+    if "msg_seq" in mail.columns:
+        reason = F.when(F.col("msg_seq").isNull(), F.concat_ws(
+            ", ", F.lit("no sequence number"), reason)).otherwise(reason)
+    if "_errors" in mail.columns:
+        read = F.array_join("_errors", "; ")
+        reason = F.when(reason.isNotNull() & (read != ""), F.concat(
+            reason, F.lit(" ("), read, F.lit(")"))).otherwise(reason)
+    return mail.withColumn("_error", reason)
 
 
 def split_rejects(mail: DataFrame) -> tuple[DataFrame, DataFrame]:

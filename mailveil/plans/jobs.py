@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,7 +19,9 @@ from mailveil.operators.pseudonyms import (
 from mailveil.plans.message_record import Options, find_people, message_records, with_texts
 from mailveil.session import settle
 from mailveil.sources.csv_files import write_batches
-from mailveil.sources.mapping import append_mapping, create_mapping, read_mapping
+from mailveil.sources.mail import checked_mail
+from mailveil.sources.mapping import create_mapping, read_mapping, stage_mapping
+from mailveil.sources.runs import drop_unpublished, move_in, publish, published
 
 
 @dataclass(frozen=True)
@@ -47,9 +50,21 @@ def masked_lists(found: Addresses, mapping: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class RunSummary:
+    """Counts of a run; ``damaged`` are messages processed though a part was not readable."""
+
     messages: int
     messages_with_pii: int
     rejected: int
+    damaged: int = 0
+
+
+def finish_runs(spark: SparkSession, mapping_path: str) -> None:
+    """Move in the output of runs that ended between publishing their pairs and their output,
+    and remove what runs left that published nothing."""
+    for manifest in published(spark, mapping_path):
+        for staged, target in manifest.get("outputs", []):
+            move_in(spark, staged, target)
+    drop_unpublished(spark, mapping_path)
 
 
 def run_archive(spark: SparkSession, mail: DataFrame, mapping_path: str, output: str,
@@ -57,14 +72,22 @@ def run_archive(spark: SparkSession, mail: DataFrame, mapping_path: str, output:
                 drop_originals: bool = False) -> RunSummary:
     """Mask a mail table into CSV batches and save the pseudonyms it needed.
 
-    ``mapping_path`` holds the mapping files of earlier runs, if any. Messages without id
-    or delivery time go to ``{output}_rejected``.
+    ``mapping_path`` holds the mapping files of earlier runs, if any. ``mail`` may be any
+    table with some of the mail columns: what cannot be read of a message is noted
+    (``checked_mail``) and the run goes on. Messages without id, sequence number or delivery
+    time go to ``{output}_rejected``.
+
+    The run writes aside, publishes its new pairs with one rename, then moves its output in.
+    Ended before that rename it has added nothing, and run again it gives the same ids; ended
+    after it, the next run moves the output in first.
     """
-    good, rejected = split_rejects(drop_calendar(mail))
+    finish_runs(spark, mapping_path)
+    run = uuid.uuid4().hex
+    good, rejected = split_rejects(drop_calendar(checked_mail(mail)))
     create_mapping(spark, mapping_path)
     mapping = settle(read_mapping(spark, mapping_path), "saved-mapping")
     found = survey_addresses(good, mapping)
-    append_mapping(found.new, mapping_path)
+    stage_mapping(found.new, mapping_path, run)
     full = mapping.unionByName(found.new)
     names = settle(names_table(good), "names")
 
@@ -72,15 +95,21 @@ def run_archive(spark: SparkSession, mail: DataFrame, mapping_path: str, output:
     numbered = good.join(batches, "msg_seq")
     people = find_people(with_texts(good), names)
     records = message_records(numbered, masked_lists(found, full), people, options,
-                              keep=["batch"], cluster_by="batch")
+                              keep=["batch", "_errors"], cluster_by="batch")
 
     written, refused = Observation("written"), Observation("refused")
+    outputs = {target: f"{target}_staged-{run}" for target in (output, f"{output}_rejected")}
     write_batches(records.observe(
         written, F.count("*").alias("messages"),
-        F.count_if(pii_changed(records)).alias("messages_with_pii")),
-        output, base, drop_originals)
+        F.count_if(pii_changed(records)).alias("messages_with_pii"),
+        F.count_if(F.size("_errors") > 0).alias("damaged")),
+        outputs[output], base, drop_originals)
     rejected.select("msg_seq", "message_id", "delivery_time", "_error").observe(
         refused, F.count("*").alias("rejected")
-    ).write.mode("overwrite").parquet(f"{output}_rejected")
+    ).write.mode("overwrite").parquet(outputs[f"{output}_rejected"])
+    publish(spark, mapping_path, run, {
+        "outputs": [[staged, target] for target, staged in outputs.items()]})
+    for target, staged in outputs.items():
+        move_in(spark, staged, target)
     return RunSummary(written.get["messages"], written.get["messages_with_pii"],
-                      refused.get["rejected"])
+                      refused.get["rejected"], written.get["damaged"])

@@ -180,7 +180,8 @@ def _record_columns() -> list[Column]:
         "OriginalEmailBody": F.col("body_text"),
         "PIIEntitiesFound": counts_text(F.col("joined_spans")),
         "PIICount": F.size("joined_spans"),
-        "NoOfAttachments": H.attachment_count(F.col("number_of_attachments")),
+        "NoOfAttachments": H.attachment_count(
+            F.col("number_of_attachments"), F.col("attachments")),
         "ThreadMessageId": F.col("_thread.message_id"),
         "ThreadId": F.col("_thread.thread_id"),
         "ParentId": F.col("_thread.parent_id"),

@@ -1,12 +1,19 @@
-"""The saved address mapping: CSV files with ``id, original_email, anonymized_email``."""
+"""The saved address mapping: CSV files with ``id, original_email, anonymized_email``.
+
+Each run adds a folder of files with a manifest. Pairs are staged first and published by one
+rename, so a run that ends early adds nothing, and one that is repeated adds its pairs once.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailveil.functions.headers import normalize_email
 from mailveil.operators.pseudonyms import MAPPING_COLUMNS
+from mailveil.sources.runs import Files, publish, stage_folder
 
 MAPPING_FILE_SCHEMA = "id bigint, original_email string, anonymized_email string"
 
@@ -32,14 +39,28 @@ def create_mapping(spark: SparkSession, path: str) -> None:
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """Published pairs, in folders of runs or beside them."""
     rows = (
-        spark.read.schema(MAPPING_FILE_SCHEMA)
+        spark.read.schema(MAPPING_FILE_SCHEMA).option("recursiveFileLookup", True)
         .option("header", True).option("escape", '"').csv(path)
     )
     return latest_rows(rows)
 
 
-def append_mapping(new: DataFrame, path: str) -> None:
-    """Add pairs, once per run. Pass written or checkpointed pairs, not a plan over ``path``."""
+def stage_mapping(new: DataFrame, path: str, run: str) -> None:
+    """Write the pairs of a run where no reader looks."""
     (new.select("id", "original_email", "anonymized_email")
-     .write.mode("append").option("header", True).option("escape", '"').csv(path))
+     .write.mode("overwrite").option("header", True).option("escape", '"')
+     .csv(stage_folder(path, run)))
+
+
+def append_mapping(new: DataFrame, path: str, run: str | None = None,
+                   manifest: dict | None = None) -> None:
+    """Add the pairs of a run; none if a run of that name has been published before.
+
+    Pass written or checkpointed pairs, not a plan over ``path``.
+    """
+    spark, run = new.sparkSession, run or uuid.uuid4().hex
+    if not Files(spark, path).exists(f"{path}/run-{run}"):
+        stage_mapping(new, path, run)
+        publish(spark, path, run, manifest or {})

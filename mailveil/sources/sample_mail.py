@@ -23,6 +23,8 @@ LAST = ("Nguyen", "Okafor", "Petrov", "Quinn", "Rossi", "Silva", "Tanaka", "Usma
 DOMAINS = ("Example.com", "example.org", "mail.example.net")
 FOLDERS = ("Top\\Inbox", "Top\\Inbox\\Projects", "Top\\Sent Items", "Top\\Archive")
 PEOPLE = 97
+# Mail with texts has so many partitions at least.
+PARTS = 32
 
 
 def _list(words: Iterable[str]) -> str:
@@ -111,6 +113,7 @@ COLUMNS = {
     "html_body": "if(i % 3 = 2 and i % 27 <> 26, html || '<p>' || pii || '</p>', null)",
     "transport_headers": _headers(),
     "number_of_attachments": "if(i % 5 = 0, null, cast(i % 4 as int))",
+    "attachments": "if(i % 10 = 5, array('a' || i, 'b' || i), null)",
 }
 
 
@@ -124,6 +127,9 @@ def load_mail(spark: SparkSession, folder: str, columns: Iterable[str] | None =
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     texts = [c for c in TEXT_SOURCES if c in wanted]
     rows = documents.select(F.col("doc_id").alias("i"), *(["text"] if texts else []))
+    if texts:
+        # The table may be one block of a file, so one task. Mail with texts is dealt out.
+        rows = rows.repartition(max(rows.rdd.getNumPartitions(), PARTS))
     if "html_body" in wanted:
         pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html")
         count = pages.agg(F.count("*")).scalar()
