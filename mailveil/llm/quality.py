@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,71 @@ LEAST_PRIOR, MOST_PRIOR = 2.0, 10_000.0
 MOST_LOGIT = 12.0
 
 FEATURES = ("log_words", "letters", "upper", "digits", "symbols", "marks", "bars", "distinct",
-            "top_word", "word_length", "repeats", "line_length")
+            "top_word", "word_length", "repeats", "line_length", "grams")
 MARK = re.compile(r"[!#$%&*]{2,}")
 
 
-def features(text: str | None) -> list[float]:
-    """What the shape of a text tells; all zero for a text without words."""
+# Places that words, pairs of neighbours, and beginnings and ends of words are hashed to, and
+# the bytes of such an end.
+PLACES, ENDING = 1 << 14, 3
+
+
+def gram_places(text: str | None) -> np.ndarray:
+    """The distinct places of a text's n-grams."""
+    words = (text or "").lower().encode().split()
+    if not words:
+        return np.empty(0, np.int64)
+    hashes = np.fromiter(map(crc32, words), np.uint64, len(words))
+    pairs = hashes[:-1] * np.uint64(0x9E3779B1) + hashes[1:]
+    ends = {crc32(w[:ENDING], 1) for w in set(words)} | {crc32(w[-ENDING:], 2) for w in set(words)}
+    mixed = np.concatenate((hashes, pairs, np.fromiter(ends, np.uint64, len(ends))))
+    mixed = (mixed ^ (mixed >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    return np.flatnonzero(np.bincount((mixed % np.uint64(PLACES)).astype(np.int64), minlength=PLACES))
+
+
+def gram_evidence(text: str | None, odds: np.ndarray) -> float:
+    """The mean log odds of a text's n-grams, 0 for a text without words."""
+    places = gram_places(text)
+    return float(odds[places].mean()) if len(places) else 0.0
+
+
+def gram_odds(counts: np.ndarray) -> np.ndarray:
+    """Log odds of each place from how many bad and good documents have it, with their numbers
+    in the last column."""
+    share = (counts[:, :-1] + 1) / (counts[:, -1:] + 2)
+    return np.log(share[1]) - np.log(share[0])
+
+
+def count_grams(known: DataFrame) -> np.ndarray:
+    """``[half, good, place]``: documents with an n-gram at each place, and in the last place all.
+
+    Tasks add up vectors of that size, and Spark adds up those of a half and label.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 2, PLACES + 1), np.int64)
+        for batch in text_blocks(batches):
+            for half, quality, text in zip(*(batch.column(c).to_pylist()
+                                             for c in ("half", "quality", "text"))):
+                held = sums[half, int(quality > 0)]
+                held[gram_places(text)] += 1
+                held[-1] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0, 1, 2, 3], pa.int64()),
+             pa.array([x.tobytes() for x in sums.reshape(4, -1)], pa.binary())], ["cell", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
+        return pa.table({"cell": table.column("cell")[:1],
+                         "sums": pa.array([total.tobytes()], pa.binary())})
+
+    kind, out = "cell long, sums binary", np.zeros((4, PLACES + 1), np.int64)
+    for row in known.mapInArrow(run, kind).groupBy("cell").applyInArrow(add, kind).collect():
+        out[row.cell] = np.frombuffer(row.sums, np.int64)
+    return out.reshape(2, 2, PLACES + 1)
+
+
+def features(text: str | None, odds: np.ndarray) -> list[float]:
+    """What the shape of a text and its n-grams tell; all zero for a text without words."""
     text = text or ""
     words = text.split()
     if not words:
@@ -50,14 +110,20 @@ def features(text: str | None) -> list[float]:
         np.log(n), letters / chars, upper / n, digits / chars, 1 - (letters + digits) / chars,
         len(MARK.findall(text)) / n, counts.get("|", 0) / n, len(counts) / n,
         counts.most_common(1)[0][1] / n, np.log(chars / n), repeats / n,
-        np.log1p(n / (text.count("\n") + 1)),
+        np.log1p(n / (text.count("\n") + 1)), gram_evidence(text, odds),
     ]
 
 
-def with_features(docs: DataFrame, kept: list[str]) -> DataFrame:
+def with_features(docs: DataFrame, kept: list[str], odds: np.ndarray) -> DataFrame:
+    """Add ``features``. ``odds`` has a row of log odds for each ``half``, or one for all."""
+    shared = docs.sparkSession.sparkContext.broadcast(odds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds = shared.value
         for batch in text_blocks(batches, text="_text"):
-            made = [features(t) for t in batch.column("_text").to_pylist()]
+            texts = batch.column("_text").to_pylist()
+            halves = batch.column("half").to_pylist() if len(odds) > 1 else [0] * len(texts)
+            made = [features(t, odds[h]) for t, h in zip(texts, halves)]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(made, pa.list_(pa.float64()))],
                 [*kept, "features"])
@@ -68,9 +134,10 @@ def with_features(docs: DataFrame, kept: list[str]) -> DataFrame:
 
 class Model:
     """Logistic regression on standardised features, less the log odds of its sample, so that
-    ``evidence`` says how much the text moves any prior."""
+    ``evidence`` says how much the text moves any prior. ``odds`` are those of n-grams."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, odds: np.ndarray):
+        self.odds = odds
         self.center = x.mean(axis=0) if len(x) else np.zeros(len(FEATURES))
         self.scale = x.std(axis=0) + 1e-6 if len(x) else np.ones(len(FEATURES))
         self.weights = np.zeros(2 * len(FEATURES) + 1)
@@ -103,16 +170,28 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit the classifier to a bounded sample of ``labels(doc_id, quality)``."""
+    """Fit the classifier to a bounded sample of ``labels(doc_id, quality)``.
+
+    The log odds of n-grams are taken from one half of the sample where they judge the other,
+    so the regression sees them as they are on texts not learnt from.
+    """
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = with_features(known, ["doc_id", "quality"]).select("quality", "features").collect()
+    # Of rows that repeat an id one counts, whatever their number.
+    known = settle(
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+        .withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")),
+        "labelled")
+    counts = count_grams(known)
+    other = np.stack([gram_odds(counts[1]), gram_odds(counts[0])])
+    rows = with_features(known, ["quality", "half"], other).select("quality", "features").collect()
     x = np.array([r.features for r in rows]).reshape(-1, len(FEATURES))
-    return Model(x, np.array([float(r.quality > 0) for r in rows]))
+    return Model(x, np.array([float(r.quality > 0) for r in rows]),
+                 gram_odds(counts.sum(axis=0)))
 
 
 def sigmoid(x: Column) -> Column:
@@ -170,7 +249,7 @@ def score_quality(docs: DataFrame, model: Model, host: Column, path: Column) ->
     placed = docs.select(
         "doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"),
         F.coalesce(path.cast("string"), F.lit("")).alias("path"), "text")
-    rows = with_features(placed, ["doc_id", "host", "path"])
+    rows = with_features(placed, ["doc_id", "host", "path"], model.odds[None])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
