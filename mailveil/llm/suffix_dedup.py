@@ -31,6 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+from .common import text_blocks
+
 LENGTH = 50
 WORD = 26
 WIDTH = LENGTH - WORD + 1  # words inside a string
@@ -219,18 +222,20 @@ RAW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("lengths", pa.b
                  ("texts", pa.binary()), ("ids", pa.binary()), ("which", pa.binary())])
 
 
-def heavy_words(table: pa.Table) -> pa.Table:
-    """Words with a large share of the block's stretches, and in a row without a word how many
-    there are; at most 2 * HOT_PARTS words are."""
-    texts = table.column("body").to_pylist()
-    runs = find_runs(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
-    words, n = np.unique(runs.word, return_counts=True)
-    held = np.isin(runs.word, words[n * 2 * HOT_PARTS > len(runs.word)])
-    # Only those are worth telling how many of their stretches differ.
-    pairs = np.unique(np.stack((runs.word[held], runs.stretch[held])), axis=1)
-    words, n = np.unique(pairs[0], return_counts=True)
-    return pa.table({"word": pa.array([*words.view(np.int64).tolist(), None], pa.int64()),
-                     "n": pa.array([*n.tolist(), len(runs.word)], pa.int64())})
+def heavy_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with a large share of the stretches of some texts, and in a row without a word how
+    many there are; at most 2 * HOT_PARTS words for BLOCK_BYTES of text."""
+    for batch in text_blocks(batches, BLOCK_BYTES, "body"):
+        texts = batch.column("body").to_pylist()
+        runs = find_runs(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
+        words, n = np.unique(runs.word, return_counts=True)
+        held = np.isin(runs.word, words[n * 2 * HOT_PARTS > len(runs.word)])
+        # Only those are worth telling how many of their stretches differ.
+        pairs = np.unique(np.stack((runs.word[held], runs.stretch[held])), axis=1)
+        words, n = np.unique(pairs[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*words.view(np.int64).tolist(), None], pa.int64()),
+             pa.array([*n.tolist(), len(runs.word)], pa.int64())], ["word", "n"])
 
 
 def send_hot(buckets: int, hot: np.ndarray, parts: int):
@@ -439,8 +444,8 @@ NO_ID = (1 << 63) - 1  # stands for a null id, which is larger than any
 
 def hot_words(rows: DataFrame) -> np.ndarray:
     """The hashes of hot words; fewer than 2 * HOT_PARTS reach the driver."""
-    counts = rows.groupBy("block").applyInArrow(heavy_words, "word long, n long").groupBy(
-        "word").agg(F.sum("n").alias("n"))
+    counts = settle(rows.select("body").mapInArrow(heavy_words, "word long, n long").groupBy(
+        "word").agg(F.sum("n").alias("n")), "heavy-words")
     total = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
     hot = counts.filter(F.col("word").isNotNull() & (F.col("n") > HOT_RANKS)
                         & (F.col("n") * 2 * HOT_PARTS > total))
