@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +35,24 @@ def wide_charsets() -> tuple[str, ...]:
     return WIDE_CHARSETS if on else ()
 
 
+@lru_cache(None)
+def _upper_halves() -> str:
+    """What the bytes from 0x80 mean in each charset of single bytes, by the codecs of the
+    standard library."""
+    return "\x02".join(f"{name}\x03" + bytes(range(0x80, 0x100)).decode(name, "replace")
+                       for name in BYTE_CHARSETS)
+
+
 def decode_charset(raw: Column, charset: Column) -> Column:
     """Bytes as text; bytes without a meaning become U+FFFD. The charset must be known."""
-    latin = F.decode(raw, "ISO-8859-1")
-    text = F.when(charset.isin(*UTF8), F.make_valid_utf8(raw.cast("string"))).when(
-        charset == "iso-8859-1", latin)
-    for name in BYTE_CHARSETS:
-        # What the upper half of the bytes means, by the codec of the standard library.
-        upper = bytes(range(0x80, 0x100)).decode(name, "replace")
-        if upper != HIGH_BYTES:
-            text = text.when(charset == name, F.translate(latin, HIGH_BYTES, upper))
-    for name in wide_charsets():
-        text = text.when(charset == name, F.decode(raw, name))
-    return text
+    # One map, folded when the query is planned: a case per charset would make large plans.
+    halves = F.call_function("str_to_map", F.lit(_upper_halves()), F.lit("\x02"), F.lit("\x03"))
+    by_byte = F.call_function("translate", F.decode(raw, "ISO-8859-1"), F.lit(HIGH_BYTES),
+                              F.try_element_at(halves, charset))
+    text = F.when(charset.isin(*UTF8), F.make_valid_utf8(raw.cast("string")))
+    if wide_charsets():
+        text = text.when(charset.isin(*wide_charsets()), F.call_function("decode", raw, charset))
+    return text.otherwise(by_byte)
 
 
 def base64_bytes(payload: Column) -> Column:

@@ -2,7 +2,7 @@
 
 Arrays do not grow in place: appending copies what is there. A fold that collects results
 one by one is quadratic, so these work block by block, and only whole blocks are collected.
-An array that is one block needs no blocks; it is folded directly, with the same result.
+Where a step is small, an array that is one block is folded directly, with the same result.
 """
 
 from __future__ import annotations
@@ -57,10 +57,8 @@ def fold(items: Column, state: Column, none: Column,
             r["state"], F.array_append(acc["out"], r["out"])))
 
     parts = F.array_repeat(none, F.lit(0))
-    return one_or_more_blocks(
-        items, lambda held: F.aggregate(held, pair(state, none), one),
-        lambda held: F.aggregate(blocks(held), pair(state, parts), block,
-                                 lambda acc: pair(acc["state"], F.flatten(acc["out"]))))
+    return F.aggregate(blocks(items), pair(state, parts), block,
+                       lambda acc: pair(acc["state"], F.flatten(acc["out"])))
 
 
 def side_by_side(left: Column, right: Column, *names: str) -> Column:

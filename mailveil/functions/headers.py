@@ -23,10 +23,8 @@ def _line(name: str) -> str:
 
 
 def header_field(unfolded: Column, name: str) -> Column:
-    """Value of the first header of that name, its encoded words decoded; null if missing or
-    empty."""
-    value = F.nullif(F.regexp_extract(unfolded, _line(name), 1), F.lit(""))
-    return let(value, decode_words)
+    """Value of the first header of that name as it is written, null if missing or empty."""
+    return F.nullif(F.regexp_extract(unfolded, _line(name), 1), F.lit(""))
 
 
 def header_values(unfolded: Column, name: str) -> Column:
@@ -34,6 +32,12 @@ def header_values(unfolded: Column, name: str) -> Column:
     return F.regexp_extract_all(unfolded, F.lit(_line(name)), F.lit(1))
 
 
+def decoded(*values: Column) -> list[Column]:
+    """Header values with their encoded words decoded, by one expression for all."""
+    texts = F.transform(F.array(*values), decode_words)
+    return [F.get(texts, F.lit(i)) for i in range(len(values))]
+
+
 def references_list(value: Column) -> Column:
     found = F.regexp_extract_all(value, F.lit("<[^>]+>"), F.lit(0))
     return F.coalesce(found, F.array().cast("array<string>"))
@@ -78,11 +82,10 @@ def header_addresses(headers: Column) -> Column:
     none = F.array().cast(f"array<{ADDRESS_TYPE}>")
 
     def parsed(h: Column) -> Column:
-        return F.struct(
-            parse_addresses(F.slice(header_values(h, "From"), 1, 1)).alias("from"),
-            parse_addresses(header_values(h, "To")).alias("to"),
-            parse_addresses(header_values(h, "Cc")).alias("cc"),
-        )
+        values = F.array(F.slice(header_values(h, "From"), 1, 1), header_values(h, "To"),
+                         header_values(h, "Cc"))
+        return let(F.transform(values, parse_addresses), lambda lists: F.struct(
+            *[F.get(lists, F.lit(i)).alias(part) for i, part in enumerate(("from", "to", "cc"))]))
 
     empty = F.struct(none.alias("from"), none.alias("to"), none.alias("cc"))
     return F.when(headers.isNull(), empty).otherwise(let(unfold(headers), parsed))
