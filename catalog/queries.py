@@ -735,11 +735,12 @@ def header_fields(spark, sf):
     h = H.unfold(F.col("transport_headers"))
     names = {"message_id": "Message-ID", "in_reply_to": "In-Reply-To", "refs": "References",
              "from_header": "From", "cc_header": "CC"}
-    values = [H.header_field(h, name) for name in names.values()]
-    shown = H.decoded(*values, F.array_join(H.header_values(h, "to"), " | "))
-    return load_mail(spark, sf, ["msg_seq", "transport_headers"]).select(
-        "msg_seq", F.array(*shown).alias("v")).select("msg_seq", *[
-            F.get("v", F.lit(i)).alias(alias) for i, alias in enumerate([*names, "to_headers"])])
+    values = F.array(*[H.header_field(h, name) for name in names.values()],
+                     F.array_join(H.header_values(h, "to"), " | "))
+    rows = load_mail(spark, sf, ["msg_seq", "transport_headers"]).select(
+        "msg_seq", values.alias("written"))
+    return rows.select("msg_seq", H.decoded_column("written").alias("v")).select("msg_seq", *[
+        F.get("v", F.lit(i)).alias(alias) for i, alias in enumerate([*names, "to_headers"])])
 
 
 @query

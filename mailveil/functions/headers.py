@@ -32,10 +32,10 @@ def header_values(unfolded: Column, name: str) -> Column:
     return F.regexp_extract_all(unfolded, F.lit(_line(name)), F.lit(1))
 
 
-def decoded(*values: Column) -> list[Column]:
-    """Header values with their encoded words decoded, by one expression for all."""
-    texts = F.transform(F.array(*values), decode_words)
-    return [F.get(texts, F.lit(i)) for i in range(len(values))]
+@built_once
+def decoded_column(values: str) -> Column:
+    """The header values in an array column, their encoded words decoded."""
+    return F.transform(F.col(values), decode_words)
 
 
 def references_list(value: Column) -> Column:
