@@ -9,6 +9,7 @@ from email.utils import getaddresses
 from pyspark.sql import functions as F
 
 from mailveil.functions.addresses import split_list, split_plain, split_tokens, PLAIN_LIST
+from catalog.queries import QUERIES
 from mailveil.functions.encoded_words import decode_words
 
 
@@ -146,3 +147,11 @@ def test_many_words_in_time(spark):
     near = "\r\n ".join([word("é" * 20)] * 20_000)
     assert column(spark, [long, near], decode_words) == [
         " ".join(["ab", "gap"] * 4000), "é" * 400_000]
+
+
+def test_encoded_texts_are_built_and_dealt_once(spark, small):
+    rows = QUERIES["encoded_words"](spark, small)
+    # Once for each form of the header, not for each piece or use; and no fold word by word.
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("encode(text") == 2 and "aggregate(" not in plan
+    assert rows.rdd.getNumPartitions() >= 32
