@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailveil.functions.binding import built_once, let
+from mailveil.functions.binding import built_once
 from mailveil.functions.masking import PLACEHOLDERS, mask
 from mailveil.functions.recognizers import Recognizer, registry
 from mailveil.functions.spans import (
@@ -26,6 +26,7 @@ from mailveil.session import settle
 
 CHUNK_CHARACTERS = 1 << 20
 LINE_END = "\n"
+LAST_WORDS = rf"^[^A-Za-z0-9]*+(?:[A-Za-z0-9]++[^A-Za-z0-9]*+){{0,{CONTEXT_TOKENS}}}+"
 
 
 def read_lines(spark: SparkSession, source: str) -> DataFrame:
@@ -86,11 +87,11 @@ def chunk_keys(lines: DataFrame, size: int) -> DataFrame:
 
 def last_words(text: Column) -> Column:
     """The last words of a text, the last one first and each spelled backwards."""
-    pieces = F.split(F.reverse(text), "[^A-Za-z0-9]+", CONTEXT_TOKENS + 2)
-    # One piece may be empty, and of many the last is the rest.
-    return let(pieces, lambda p: F.slice(F.filter(
-        F.when(F.size(p) > CONTEXT_TOKENS + 1, F.slice(p, 1, CONTEXT_TOKENS + 1)).otherwise(p),
-        lambda w: w != ""), 1, CONTEXT_TOKENS))
+    # Java goes on to the end of a text that it splits, whatever the limit, so what holds those
+    # words is taken first.
+    end = F.regexp_extract(F.reverse(text), LAST_WORDS, 0)
+    words = F.filter(F.split(end, "[^A-Za-z0-9]+", -1), lambda w: w != "")
+    return F.slice(words, 1, CONTEXT_TOKENS)
 
 
 def with_context(chunks: DataFrame) -> DataFrame:
