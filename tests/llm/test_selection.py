@@ -195,6 +195,63 @@ def test_nothing_to_learn_from(docs_of, odd_rows):
     assert lm_scoring.score_texts(docs_of([]), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("head", [1000, 3])
+def test_every_word_is_a_context(docs_of, monkeypatch, head):
+    """Words of one ending, none of them frequent, each tell the next word and, behind a frequent
+    one, the word after that."""
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    fill = "the " * 10 + " ".join(f"fill{i}" for i in range(45) for _ in range(5))
+    taught = [fill, "oneword east", "twoword north", "oneword the east", "twoword the north"] * 20
+    asked = ["oneword east", "oneword north", "twoword north", "twoword east",
+             "oneword the east", "oneword the north", "twoword the north", "twoword the east"]
+    rows = [*enumerate(taught), *enumerate(asked, 100)]
+    got = {r.doc_id: r.score for r in
+           lm_scoring.score_texts(docs_of(rows), F.col("doc_id") < 100).collect()}
+    # Alone, ``east`` and ``north`` are alike.
+    for i in range(100, 108, 2):
+        assert got[i] > got[i + 1] + 0.2
+
+
+def test_words_in_and_outside_the_head_are_scored_alike(docs_of, monkeypatch):
+    dice = random.Random(5)
+    weights = [1 / (i + 1) for i in range(600)]
+    words = [f"w{i}" + "x" * (40 if i % 50 == 7 else 0) for i in range(600)]
+    texts = [" ".join(dice.choices(words, weights, k=dice.randrange(60))) for _ in range(150)]
+    texts += [texts[0], "", None, words[599], "never seen w1 never"]
+    docs, found = docs_of(list(enumerate(texts))), []
+    for head in (5000, 150):
+        monkeypatch.setattr(lm_scoring, "HEAD", head)
+        rows = lm_scoring.score_texts(docs, F.col("doc_id") % 7 != 2).orderBy("doc_id").collect()
+        found.append(np.array([[r.n_tokens, r.n_known, r.base_score, r.score] for r in rows]))
+    assert np.allclose(*found, rtol=1e-3)
+    assert len(found[0]) == len(texts)
+
+
+def test_weights_of_keys():
+    """Probabilities sum to one beside every side, and seen classes are expected as often as they
+    were seen, with the prior's share."""
+    dice = np.random.default_rng(3)
+    base = dice.dirichlet(np.ones(6), 4).astype(np.float32)
+    joint = dice.poisson(dice.choice([0, 0.3, 5], (50, 1, 1)) * dice.random((50, 4, 6)))
+    seen, sides = joint.sum(axis=1).astype(np.float32), joint.sum(axis=2).astype(np.float32)
+    weights, rooms = lm_scoring.fit(seen, sides, base)
+    probs = base * np.exp(weights.astype(np.float64)[:, None] - rooms[:, :, None])
+    assert np.allclose(probs.sum(axis=2), 1, atol=1e-5)
+    prior = lm_scoring.PRIOR * sides / np.maximum(sides.sum(axis=1, keepdims=True), 1)
+    expected = np.einsum("ws,wsk->wk", sides + prior, probs)
+    wanted = seen + prior @ base
+    assert np.allclose(expected[seen > 0], wanted[seen > 0], rtol=0.03)
+    assert not weights[seen == 0].any()
+
+
+def test_long_frequent_words_are_in_the_head(docs_of):
+    word = "z" * 100
+    counts = lm_scoring.count_tokens(docs_of([(1, f"{word} a {word}"), (2, word)]))
+    head = lm_scoring.head_words(counts)
+    place, kind, _ = head.look_up([word.encode(), b"a", b"b"])
+    assert place.tolist() == [1, 2, -1] and head.count[1] == 3 and kind[0] == 1
+
+
 def test_shards(docs_of, odd_rows):
     rows = shard_documents(docs_of(odd_rows), 5).collect()
     assert len(rows) == len(odd_rows)
