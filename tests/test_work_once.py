@@ -7,7 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog.queries import QUERIES
-from mailveil.functions.text import csv_safe
+from mailveil.functions.html import closable, unmarked
+from mailveil.functions.patterns import widen
+from mailveil.functions.recognizers import EMAIL, IP, LOCAL, registry
+from mailveil.functions.spans import detect, locate
+from mailveil.functions.text import SPACE_LIKE, ZERO_WIDTH, csv_safe, strip_invisible
 from mailveil.operators.people import CHAIN_START, WORD_START
 from mailveil.plans.file_parts import last_words
 
@@ -43,3 +47,45 @@ def test_csv_cleaning_takes_no_pattern(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "v string").select(csv_safe(F.col("v")).alias("s"))
     assert [r.s for r in rows.collect()] == ["a'b c d e  ", "", ""]
     assert "regexp" not in analyzed(rows) and "translate" not in analyzed(rows)
+
+
+def test_invisible_characters_are_looked_for_without_a_pattern(spark):
+    texts = ["plain", "é 中 𝒜", None, ""] + [f"a{c}b" for c in SPACE_LIKE + ZERO_WIDTH]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select(
+        "v", strip_invisible(F.col("v")).alias("s"))
+    assert "RLIKE" not in analyzed(rows)
+    for row in rows.collect():
+        assert row.s == (row.v and re.sub(f"[{ZERO_WIDTH}]", "", re.sub(f"[{SPACE_LIKE}]", " ", row.v)))
+
+
+def test_html_is_not_reversed_for_its_last_tag(spark):
+    texts = ["a<b>c<d", "<", "a>", "no tags", "", None, "x<!-- y", "<\x01p>\x07 > z<!--<q"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select(
+        "v", closable(unmarked(F.col("v"))).alias("s"))
+    assert "reverse(" not in analyzed(rows)
+    for row in rows.collect():
+        head, close, tail = re.sub("[\x01-\x07]", "", row.v or "").rpartition(">")
+        assert (row.s or "") == head + close + re.sub("<(?!!--)", "&lt;", tail)
+
+
+def test_ip_addresses_are_searched_within_runs_of_digits(spark):
+    assert IP.dotted
+    dice = random.Random(5)
+    parts = ["1.1.1.1", "10.1.2.3", "255.255.255.255", "999.1.1.1", "0412 345 678", "12", ".", "-",
+             " ", "+", "é", "\u0663", "a", "_", "\n", "\U0001d49c", "51 824 753 556", "3.14159"]
+    texts = ["".join(dice.choice(parts) for _ in range(dice.randrange(12))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.filter(locate(F.col("t"), widen(IP.patterns[0][0], True)),
+                     lambda h: IP.validator(h["text"]))
+    found = F.filter(detect(F.col("t"), registry()), lambda s: s["entity"] == IP.entity)
+
+    def places(spans):
+        return F.transform(spans, lambda s: F.struct(s["start"], s["end"]))
+
+    rows = rows.select("t", places(whole).alias("whole"), places(found).alias("found")).collect()
+    assert sum(len(r.whole) for r in rows) > 100
+    assert all(r.whole == r.found for r in rows)
+
+
+def test_characters_of_addresses_are_listed():
+    assert not any("a-z" in p or "A-Z" in p for p in (LOCAL, EMAIL.patterns[0][0]))
