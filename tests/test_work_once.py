@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog.queries import QUERIES
-from mailveil.functions.html import closable, unmarked
+from mailveil.functions.folding import cut_out
+from mailveil.functions.html import closable, html_to_text, unmarked
 from mailveil.functions.patterns import widen
 from mailveil.functions.recognizers import EMAIL, IP, LOCAL, registry
-from mailveil.functions.spans import detect, locate
+from mailveil.functions.spans import SEPARATOR, cut_at, detect, locate
 from mailveil.functions.text import SPACE_LIKE, ZERO_WIDTH, csv_safe, strip_invisible
 from mailveil.operators.people import CHAIN_START, WORD_START
 from mailveil.plans.file_parts import last_words
@@ -89,3 +90,41 @@ def test_ip_addresses_are_searched_within_runs_of_digits(spark):
 
 def test_characters_of_addresses_are_listed():
     assert not any("a-z" in p or "A-Z" in p for p in (LOCAL, EMAIL.patterns[0][0]))
+
+
+def test_tags_are_written_in_one_pass(spark):
+    """Names of tags in any case of ASCII; those that only look alike write nothing."""
+    expected = {
+        "a<LI>b</Li>c": "a\n* bc", "a<P/>b<br\t>c": "a\nb\nc", "a<li=1>b<lix>c": "abc",
+        "a<bloc\u212aquote>b": "ab", "<td title='>'>a</TD>b</tH>c": "a b c",
+        "x <PRE>a  b</pRe> c  d": "x\na  b\nc d", "<!-- <p> -->a<?p>b<script><p></script>c": "abc",
+        "<head>t<p>u</HEAD>a<Head/>v<bODy >b": "a\nb", "<header>a</header>b<head>c": "a\nb",
+        "1 <2 &lt;p> <p": "1 <2 <p> <p", "</p a=\"x>a<b>c\"": "</p a=\"x>ac\"",
+    }
+    rows = spark.createDataFrame([(t,) for t in expected], "t string")
+    rows = rows.select("t", html_to_text(F.col("t")).alias("s"))
+    assert analyzed(rows).count("regexp_replace(") < 12
+    assert {r.t: r.s for r in rows.collect()} == expected
+
+
+def test_separators_are_looked_for_before_they_are_replaced(spark):
+    texts = ["a1b", "\x01a1\x01", "\x01", "", None, "é1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = rows.select("t", cut_at(F.col("t"), "[0-9]", f"{SEPARATOR}$0{SEPARATOR}").alias("cut"))
+    assert "CASE WHEN Contains(" in analyzed(rows)
+    for row in rows.collect():
+        assert row.cut == (None if row.t is None else re.split(
+            "([0-9])", row.t.replace("\x01", "\x02")))
+
+
+def test_empty_ranges_cut_out_nothing(spark):
+    dice = random.Random(6)
+    texts = ["".join(dice.choice("abcé中𝒜 ") for _ in range(60)) for _ in range(200)]
+    cases = [(t, [(a, a + max(dice.randrange(-4, 9), 0)) for a in sorted(
+        dice.randrange(60) for _ in range(dice.choice((0, 1, 2, 5, 140))))]) for t in texts]
+    rows = spark.createDataFrame(cases, "t string, r array<struct<start:int,end:int>>")
+    rows = rows.select("t", "r", cut_out(F.col("t"), F.col("r")).alias("cut"))
+    # The stretch goes by ranges that hold something.
+    assert "filter(" in analyzed(rows)
+    for row in rows.collect():
+        assert row.cut == [row.t[a:b] for a, b in row.r]
